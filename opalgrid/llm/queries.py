@@ -6,17 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opalgrid.llm import arc, secret_scan
 from opalgrid.llm.common import table
+from opalgrid.llm.language_id import language_id
 from opalgrid.llm.ngram_join import ngram_join
+from opalgrid.llm.sharding import shard
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.arc_to_warc(arc.pages_as_arc(table(spark, sf_dir, "pages")))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op6_ngram_jaccard_join, op9_arc_to_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": secret_scan.SQL, "op9_arc_to_warc": arc.SQL}

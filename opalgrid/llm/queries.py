@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opalgrid.llm import arc, secret_scan
 from opalgrid.llm.common import table
+from opalgrid.llm.decontaminate import leaks
 from opalgrid.llm.language_id import language_id
+from opalgrid.llm.mixing import mixing
 from opalgrid.llm.ngram_join import ngram_join
 from opalgrid.llm.sharding import shard
 
@@ -21,6 +23,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -34,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op6_ngram_jaccard_join, op9_arc_to_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_mixing, op5_decontaminate, op6_ngram_jaccard_join, op9_arc_to_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

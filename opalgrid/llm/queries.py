@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opalgrid.llm import arc, secret_scan
 from opalgrid.llm.common import table
+from opalgrid.llm.ctw import lm_score
 from opalgrid.llm.decontaminate import leaks
 from opalgrid.llm.language_id import language_id
 from opalgrid.llm.mixing import mixing
@@ -27,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_mixing, op5_decontaminate, op6_ngram_jaccard_join, op9_arc_to_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_mixing, op4_lm_score, op5_decontaminate, op6_ngram_jaccard_join, op9_arc_to_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -94,18 +94,25 @@ def unit_hash(column: Column | str, seed: int) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) of an undirected graph given by edges: comp is the smallest node that can be reached.
 
-    Labels move to the smallest of the neighbourhood and then jump to the label of their label, so a
-    chain of n nodes takes O(log n) rounds. Each round is a table in the shared folder, so that
-    lineage stays short and a lost executor costs one round. Ends when no label changed; no edges
-    give an empty table.
+    First every node goes to the smallest of its neighbourhood, which makes one node of each dense group.
+    Among what edges are left, labels move to the smallest of the neighbourhood and then jump to the
+    label of their label, so a chain of n nodes takes O(log n) rounds. Each round is a table in the
+    shared folder, so that lineage stays short and a lost executor costs one round. Ends when no label
+    changed; no edges give an empty table.
     """
-    both = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).filter("u != v")).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
+    flat = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    turned = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = saved(turned(flat).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p")), "near")
+    ends = flat.join(near, "u").select(F.col("p").alias("pu"), "v").join(near.select(F.col("u").alias("v"), "p"), "v")
+    rest = saved(turned(ends.filter("pu != p").select(F.col("pu").alias("u"), F.col("p").alias("v"))).distinct(), "edges")
+    labels = saved(rest.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "labels")
+    while not rest.isEmpty():
+        least = rest.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m"))
+        step = labels.join(least, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
         step = saved(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "labels")
         labels = step.select("node", "comp")
         if step.filter("comp != was").isEmpty():
-            return labels
+            break
+    named = near.join(labels.withColumnRenamed("node", "p"), "p", "left")
+    return saved(named.select(F.col("u").alias("node"), F.coalesce("comp", "p").alias("comp")), "components")

@@ -33,6 +33,7 @@ NGRAM = 3
 THRESHOLD = 0.5
 #: n-grams and documents of one packed block, and bytes of text for each range of n-grams.
 BLOCK_NGRAMS, BLOCK_DOCS, RANGE_BYTES = 1_000_000, 60_000, 16 << 20
+PREFIX_RANGE = 6_000_000
 #: Queries that walk a trie together.
 QUERIES = 256
 _EPS = 1e-9
@@ -80,18 +81,21 @@ def _set_keys(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.add.reduceat(mix64(sets), at), np.add.reduceat(mix64(sets ^ np.uint64(0x5DEECE66D)), at) ^ sizes.astype(np.uint64)
 
 
+_WIDE = np.uint64((1 << 24) - 1)
+
+
 def _gaps(sorted_values: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending numbers as 16-bit gaps, with fillers (document 65535) where a gap is longer."""
+    """Ascending numbers as 24-bit gaps (low two bytes, then high ones); a longer gap is reached by fillers (document 65535)."""
     gap = np.diff(sorted_values, prepend=np.uint64(0))
-    fill = (gap // np.uint64(65535)).astype(np.int64)
-    if not fill.any():
-        return gap.astype("<u2").tobytes(), docs.astype("<u2").tobytes()
-    if fill.sum() > 8 * len(gap) + 1024:
-        return b"", np.concatenate([sorted_values.astype("<u8").view("<u2"), docs.astype("<u2")]).tobytes()
-    at = np.cumsum(fill + 1) - 1
-    g, d = np.full(at[-1] + 1, 65535, "<u2"), np.full(at[-1] + 1, 65535, "<u2")
-    g[at], d[at] = gap - fill.astype(np.uint64) * np.uint64(65535), docs
-    return g.tobytes(), d.tobytes()
+    fill = (gap // _WIDE).astype(np.int64)
+    if fill.any():
+        if fill.sum() > len(gap) + 1024:
+            return b"", np.concatenate([sorted_values.astype("<u8").view("<u2"), docs.astype("<u2")]).tobytes()
+        at = np.cumsum(fill + 1) - 1
+        g, d = np.full(at[-1] + 1, _WIDE, np.uint64), np.full(at[-1] + 1, 65535, "<u2")
+        g[at], d[at] = gap - fill.astype(np.uint64) * _WIDE, docs
+        gap, docs = g, d
+    return (gap & np.uint64(0xFFFF)).astype("<u2").tobytes() + (gap >> np.uint64(16)).astype(np.uint8).tobytes(), docs.astype("<u2").tobytes()
 
 
 def _ungap(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +103,9 @@ def _ungap(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
         both = np.frombuffer(b, "<u2")
         n = len(both) // 5
         return both[: 4 * n].view("<u8"), both[4 * n :]
-    values, docs = np.cumsum(np.frombuffer(a, "<u2"), dtype=np.uint64), np.frombuffer(b, "<u2")
+    n = len(a) // 3
+    gap = np.frombuffer(a, "<u2", n).astype(np.uint64) | np.frombuffer(a, np.uint8, n, 2 * n).astype(np.uint64) << np.uint64(16)
+    values, docs = np.cumsum(gap, dtype=np.uint64), np.frombuffer(b, "<u2")
     real = docs != 65535
     return values[real], docs[real]
 
@@ -263,7 +269,8 @@ def _pairs_of_range(threshold: float):  # noqa: ANN202
         v = np.concatenate([np.frombuffer(x["a"], "<u8") for x in rows])
         i = np.concatenate([np.frombuffer(x["b"], "<i8") for x in rows])
         s = np.concatenate([np.frombuffer(x["c"], "<u4") for x in rows]).astype(np.int64)
-        ids, i = np.unique(i, return_inverse=True)
+        ids, first, i = np.unique(i, return_index=True, return_inverse=True)
+        size = s[first]
         o = np.lexsort((i, v))
         v, i, s = v[o], i[o].astype(np.int64), s[o]
         start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -286,7 +293,8 @@ def _pairs_of_range(threshold: float):  # noqa: ANN202
                     keys, counts = _sum_by(keys, counts)
             at = stop
         keys, counts = _sum_by(keys, counts)
-        return pa.table({"a": pa.array(ids[keys >> 32], pa.int64()), "b": pa.array(ids[keys & 0xFFFFFFFF], pa.int64()), "n": pa.array(counts, pa.int64())})
+        a, b = keys >> 32, keys & 0xFFFFFFFF
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "sa": pa.array(size[a], pa.int64()), "sb": pa.array(size[b], pa.int64()), "n": pa.array(counts, pa.int64())})
 
     return pairs
 
@@ -382,15 +390,23 @@ def _join_component(threshold: float):  # noqa: ANN202
         rank[np.lexsort((u, np.concatenate(df)[first]))] = np.arange(len(u))
         sets = [rank[np.searchsorted(u, g)] for g in grams]
         sizes = np.array([x["size"] for x in rows], np.int64)
-        found = list(trie_pairs(sets, sizes, threshold))
-        return pa.table({"doc_a": pa.array([rows[i]["rep"] for i, _, _ in found], pa.int64()), "doc_b": pa.array([rows[j]["rep"] for _, j, _ in found], pa.int64()), "overlap": pa.array([n for _, _, n in found], pa.int64()), "size_a": pa.array([rows[i]["size"] for i, _, _ in found], pa.int64()), "size_b": pa.array([rows[j]["size"] for _, j, _ in found], pa.int64())})
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        for i, j, n in trie_pairs(sets, sizes, threshold):
+            if rows[i]["rep"] != rows[j]["rep"]:
+                new = (n / float(sizes[i] + sizes[j] - n), n, i, j)
+                best[rows[i]["rep"], rows[j]["rep"]] = max(best.get((rows[i]["rep"], rows[j]["rep"]), new), new)
+        docs = {x["rep"]: x["docs"] for x in rows}
+        found = [(a, b, docs[a], docs[b], n, int(sizes[i]), int(sizes[j]), similarity) for (a, b), (similarity, n, i, j) in best.items()]
+        cols = list(zip(*found)) if found else [()] * 8
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *(pa.int64(),) * 3, pa.float64())
+        return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(RESULT.split(", "), cols, kinds)})
 
     return join
 
 
 def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The join in factored form: pairs (doc_a, doc_b, overlap, size_a, size_b) of different sets, each named
-    by its smallest doc_id, and groups (rep, docs, size) of the documents that may be in pairs, by equal set."""
+    """Pairs of different sets as ngram_join returns them, each set named by its smallest doc_id, and groups
+    (rep, docs, size) of the documents that may be in pairs, by equal set."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold lies above 0 and not above 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
@@ -405,16 +421,14 @@ def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
     ranges = max(4, math.ceil(tokens / 1_000_000))
     counted = chosen.sortWithinPartitions("doc_id").mapInArrow(_send_sets(n, ranges), BLOBS).groupBy("r").applyInArrow(_count_sets, BLOBS)
     ordered = saved(counted.groupBy("block").applyInArrow(_order_sets, "rep long, size long, grams binary, df binary"), "ordered")
-    found = ordered.mapInArrow(_send_prefixes(ranges, threshold), BLOBS).groupBy("r").applyInArrow(_pairs_of_range(threshold), "a long, b long, n long")
-    sums = found.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    shape = groups.select("rep", F.col("size").alias("s"))
-    rest = F.lit(threshold) * F.col("s")  # n-grams of a set after its prefix
-    bound = sums.join(shape.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.floor(rest + 1).alias("ra")), "a").join(shape.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.floor(rest + 1).alias("rb")), "b")
-    edges = saved(bound.filter(F.col("n") + F.greatest("ra", "rb") >= F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - _EPS).select("a", "b"), "edges")
-    comps = components(edges)
-    inside = ordered.join(comps.withColumnRenamed("node", "rep"), "rep")
-    joined = inside.groupBy("comp").applyInArrow(_join_component(threshold), "doc_a long, doc_b long, overlap long, size_a long, size_b long")
-    return saved(joined.filter("doc_a != doc_b"), "pairs"), groups
+    ranges = max(4, math.ceil(tokens / PREFIX_RANGE))
+    found = ordered.mapInArrow(_send_prefixes(ranges, threshold), BLOBS).groupBy("r").applyInArrow(_pairs_of_range(threshold), "a long, b long, sa long, sb long, n long")
+    sums = found.groupBy("a", "b").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("n").alias("n"))
+    rest = F.floor(F.lit(threshold) * F.greatest("sa", "sb") + 1)  # n-grams of a set after its prefix, at most
+    edges = saved(sums.filter(F.col("n") + rest >= F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - _EPS).select("a", "b"), "edges")
+    lists = groups.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"))
+    inside = ordered.join(components(edges).withColumnRenamed("node", "rep"), "rep").join(lists, "rep")
+    return inside.groupBy("comp").applyInArrow(_join_component(threshold), RESULT), groups
 
 
 def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -431,20 +445,15 @@ def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) ->
     are ignored. An empty table gives an empty result. Similarity exactly `threshold` is in.
     """
     pairs, groups = set_pairs(docs, n, threshold)
-    best = F.max_by(F.struct("overlap", "size_a", "size_b"), F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
-    pairs = pairs.groupBy("doc_a", "doc_b").agg(best.alias("x")).select("doc_a", "doc_b", "x.*")
-    lists = groups.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"))
-    a, b = lists.select(F.col("rep").alias("doc_a"), F.col("docs").alias("docs_a")), lists.select(F.col("rep").alias("doc_b"), F.col("docs").alias("docs_b"))
-    between = pairs.join(a, "doc_a").join(b, "doc_b").withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
     same = groups.select("rep", F.array_distinct("docs").alias("docs"), "size").filter(F.size("docs") > 1)
     copies = same.select(F.col("rep").alias("doc_a"), F.col("rep").alias("doc_b"), F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.col("size").alias("overlap"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
     names = [x.split()[0] for x in RESULT.split(", ")]
-    return between.select(names).unionByName(copies.select(names))
+    return pairs.select(names).unionByName(copies.select(names))
 
 
 def duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id of every document that goes when of each group, joined by pairs in any number of steps, the smallest stays."""
     pairs, groups = set_pairs(docs, n, threshold)
-    comps = components(pairs, "doc_a", "doc_b").withColumnRenamed("node", "rep")
+    comps = components(saved(pairs.select("doc_a", "doc_b"), "pairs"), "doc_a", "doc_b").withColumnRenamed("node", "rep")
     members = groups.join(comps, "rep", "left").select(F.coalesce("comp", "rep").alias("keep"), F.explode(F.array_distinct("docs")).alias("doc_id"))
     return members.filter("doc_id != keep").select("doc_id").distinct()

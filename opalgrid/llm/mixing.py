@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from opalgrid.llm.common import buffers, saved, slices, unit_hash
 from opalgrid.llm.words import word_hashes
@@ -209,9 +210,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     steps = fit_rates(saved(named.mapInArrow(_posteriors(model), "doc_id long, tokens long, " + ", ".join(f"p_{n} double" for n in DOMAINS)), "posteriors"), targets or TARGETS)
     fields, columns = docs.schema, docs.columns
     extra = ["__opalgrid_" + x for x in ("tokens", *(f"p_{n}" for n in DOMAINS))]
-    wide = docs.schema.add(extra[0], "long")
-    for x in extra[1:]:
-        wide = wide.add(x, "double")
+    wide = StructType([*fields.fields, StructField(extra[0], LongType()), *(StructField(x, DoubleType()) for x in extra[1:])])
     run, at = _posteriors(model), columns.index("text")
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,7 +77,7 @@ def where(p: DataFrame, f: Filters) -> DataFrame:
     if f.places:
         p = p.filter(F.greatest(F.lit(False), *(F.coalesce(F.contains(fold("city"), fold(F.lit(x))), F.lit(False)) for x in f.places)))
     for s in f.skills:  # every one of them
-        p = p.filter(F.coalesce(F.exists("skills_list", lambda x, s=s: F.lower(x) == s.lower()), F.lit(False)))
+        p = p.filter(F.coalesce(F.array_contains(F.transform("skills_list", F.lower), s.lower()), F.lit(False)))
     if f.seniority:
         p = p.filter(search_seniority("title", F.array(F.lower(F.coalesce("seniority", F.lit(""))))).isin(f.seniority))
     return p
@@ -115,7 +115,12 @@ def by_terms(p: DataFrame, terms: DataFrame, kinds: list[str], value: str) -> Da
 def term_index(p: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(vacancy_id, term_type, term_value), each once: array columns exploded, plain ones as they are."""
     kinds = dict(p.dtypes)
-    lists = [F.transform(F.col(c) if kinds[c].startswith("array") else F.array(c), lambda v, t=t: F.struct(F.lit(t).alias("term_type"), F.trim(v.cast("string")).alias("term_value"))) for t, c in columns.items()]
+
+    def terms(kind: str, c: str) -> Column:
+        values = F.col(c) if kinds[c].startswith("array") else F.array(c)
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("term_type"), F.trim(v.cast("string")).alias("term_value")))
+
+    lists = [terms(t, c) for t, c in columns.items()]
     rows = p.select("vacancy_id", F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("x")).select("vacancy_id", "x.*")
     return rows.filter("term_value is not null and term_value != ''").distinct()
 

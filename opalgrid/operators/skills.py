@@ -66,7 +66,7 @@ def top_taxonomy(p: DataFrame, column: str, n: int = 20) -> DataFrame:
 def taxonomy_summary(p: DataFrame, column: str) -> DataFrame:
     """All seven categories, those without a mention with zeros."""
     rows = p.select(F.array_distinct(F.filter(column, lambda s: category_of(s).isNotNull())).alias("s"))
-    totals = one_row(rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.exists("s", lambda x, c=c: category_of(x) == c)).alias(c) for c in CATEGORIES)))
+    totals = one_row(rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.array_contains(F.transform("s", category_of), c)).alias(c) for c in CATEGORIES)))
     by = taxonomy(p, column).groupBy("category").agg(F.countDistinct("skill").alias("distinct_items"), F.count(F.lit(1)).alias("total_mentions"))
     frame = totals.select(F.posexplode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("vacancies_with_items"), F.col("n").alias("n")) for c in CATEGORIES))).alias("o", "x")).select("o", "x.*")
     return frame.join(by, "category", "left").orderBy("o").select("category", F.coalesce("distinct_items", F.lit(0)).alias("distinct_items"), F.coalesce("total_mentions", F.lit(0)).alias("total_mentions"), "vacancies_with_items", share(F.col("vacancies_with_items"), F.col("n")).alias("vacancy_coverage"))

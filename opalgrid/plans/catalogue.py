@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalgrid.functions.numbers import share
-from opalgrid.functions.taxonomy import EDUCATION, SKILLS, asks_degree, experience, matched_skills
+from opalgrid.functions.taxonomy import EDUCATION, asks_degree, experience, matched_skills
 from opalgrid.functions.text import TITLE_STOP, company_key, jaccard, name_key, text_key, tokens
 from opalgrid.operators import dedup, metrics, search, skills, standardise, store, trends
 from opalgrid.plans import batch, snapshots
@@ -120,9 +120,9 @@ on_postings("search_page", lambda p: search.page(p, _F, 2, 25).select("vacancy_i
 _KINDS = {"skill": "skills_list", "city": "city", "role": "role_category"}
 _TERMS = ", terms AS (SELECT vacancy_id, 'skill' AS term_type, unnest(skills_list) AS term_value FROM postings UNION SELECT vacancy_id, 'city', city FROM postings UNION SELECT vacancy_id, 'role', role_category FROM postings)"
 on_postings("term_index", lambda p: search.term_index(p, _KINDS), _TERMS + " SELECT * FROM terms WHERE trim(term_value) <> ''")
-on_postings("search_terms_semi", lambda p: search.by_terms(p, search.term_index(p, _KINDS), ["city"], "France").select("vacancy_id", "company"), " SELECT vacancy_id, company FROM postings WHERE lower(city) = 'france'")
+on_postings("search_terms_semi", lambda p: search.by_terms(p, search.term_index(p, _KINDS), ["city"], "NATION_1").select("vacancy_id", "company"), " SELECT vacancy_id, company FROM postings WHERE lower(city) = 'nation_1'")
 on_postings("facet_source", lambda p: search.facet(p, "source"), " SELECT source AS value, count(*) AS n FROM postings GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
-on_postings("facet_terms", lambda p: search.term_facets(search.term_index(p, _KINDS)), _TERMS + ", c AS (SELECT term_type, lower(term_value) AS value, count(DISTINCT vacancy_id) AS n FROM terms GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY term_type ORDER BY n DESC, value) AS INTEGER) AS position FROM c) SELECT * FROM r WHERE position <= 80")
+on_postings("facet_terms", lambda p: search.term_facets(search.term_index(p, _KINDS)), _TERMS + ", c AS (SELECT term_type, lower(term_value) AS value, count(DISTINCT vacancy_id) AS n FROM terms WHERE trim(term_value) <> '' GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY term_type ORDER BY n DESC, value) AS INTEGER) AS position FROM c) SELECT * FROM r WHERE position <= 80")
 
 # ---- duplicates
 
@@ -163,7 +163,6 @@ add("accent_keys", lambda s, d: _docs(s, d).groupBy(F.sha2(text_key("text"), 256
 add("company_keys", lambda s, d: table(s, d, "customer").select("c_custkey", company_key(F.concat("c_name", F.lit(" Holding AG"))).alias("key"), name_key("c_name").alias("name")), "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS key, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer")
 add("education_share", lambda s, d: _docs(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(asks_degree("text")).alias("hits"), share(F.count_if(asks_degree("text")), F.count(F.lit(1))).alias("share")), f"WITH h AS (SELECT lang, regexp_matches({_FOLD.format('text')}, '{EDUCATION}') AS hit FROM documents) SELECT lang, count(*) AS n, count(*) FILTER (hit) AS hits, {_r('count(*) FILTER (hit) / count(*)')} AS share FROM h GROUP BY 1")
 add("experience_by_lang", lambda s, d: metrics.experience_by(_docs(s, d).withColumn("x", experience("text")).select("lang", F.col("x.low").alias("exp_low"), F.col("x.high").alias("exp_high")), "lang"))
-_KEYS = ["r", "c", "go", "rest", "sap" if "sap" in SKILLS else "erp", "spring", "spark", "excel", "oracle", "react", "git", "rust", "swift", "agile"]
 add("skill_matcher", lambda s, d: _docs(s, d).select("doc_id", F.explode(matched_skills("text")).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n")))
 add("html_text", lambda s, d: pages.page_text(table(s, d, "pages")).select("page_id", "title", "n_chars"))
 add("page_titles", lambda s, d: table(s, d, "pages").select("page_id", pages.title("html").alias("title")), "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
@@ -171,7 +170,6 @@ add("postal_cantons", lambda s, d: table(s, d, "part").select("p_partkey", stand
 
 # ---- state
 
-_EVENTS = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
 add("keep_first", lambda s, d: store.keep_first(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type"), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_id, user_id, event_type FROM r WHERE k = 1")
 add("latest_turn", lambda s, d: store.latest(table(s, d, "conversations"), ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "role"), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS k FROM conversations) SELECT conv_id, turn, role FROM r WHERE k = 1")
 add("json_props", lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -53,14 +53,14 @@ def max_entropy(value: str) -> float:
     total = 0.0
     least = math.inf
     for k, c in enumerate(value):
-        n = counts.get(c, 0)
-        total += _XLOGX[n + 1] - _XLOGX[n]
-        counts[c] = n + 1
-        if k >= WINDOW:
+        if k >= WINDOW:  # one out before one in, so that no count exceeds the window
             out = value[k - WINDOW]
             n = counts[out]
             total += _XLOGX[n - 1] - _XLOGX[n]
             counts[out] = n - 1
+        n = counts.get(c, 0)
+        total += _XLOGX[n + 1] - _XLOGX[n]
+        counts[c] = n + 1
         if k >= WINDOW - 1:
             least = min(least, total)
     return math.log2(WINDOW) - least / WINDOW

@@ -3,9 +3,11 @@
 Each of up to PROJECTIONS orthonormal directions gives one sorted array of the vectors' projections.
 Windows around a query's own projections are opened in every array; a vector whose projection lies in a
 window collides there: its place in the array is compared with the window's ends. Virtual rehashing widens
-the same windows round by round; only vectors that newly reach the threshold are measured. A vector that collides in THRESHOLD of the arrays is verified by its distance. The
-search of a query ends when K verified vectors lie within the half-width of the windows (a vector that
-near collides everywhere, so the result is then exact) or when a share BETA of the vectors has been verified.
+the same windows round by round; only vectors that newly reach the threshold are measured. A vector that collides in THRESHOLD of the arrays is verified by its distance. A
+vector that isn't verified lies outside the window in all the other arrays, so it is farther than the
+half-width times the square root of their number. The search of a query ends when K verified vectors
+lie within that reach, so the result is exact; the K nearest verified so far say how wide the windows
+have to be for it, and the rounds between are left out.
 
 Vectors are dealt to blocks; every pair of a query block and a data block is a task of its own with the sorted
 arrays of that data block, and the K nearest of all blocks are merged.
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K, PROJECTIONS, THRESHOLD, BETA = 10, 48, 0.75, 0.13
+K, PROJECTIONS, THRESHOLD = 10, 48, 0.75
 #: Half-widths of the windows round by round, by the spread of projections; the last takes in all.
 ROUNDS = (0.1, 0.6, 0.82, 0.88, 0.94, 1.0, 1.1, 1.25, 1.5, 2.0, 4.0, math.inf)
 #: Vectors of one block, and queries whose windows are looked up together.
@@ -33,7 +35,7 @@ def directions(dim: int) -> np.ndarray:
     return np.ascontiguousarray(q[:, : min(dim, PROJECTIONS)])
 
 
-def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int = K, beta: float = BETA) -> list[tuple[int, int, float]]:
+def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int = K) -> list[tuple[int, int, float]]:
     """(query id, neighbour id, distance) of the k nearest others of each query; fewer if data holds fewer."""
     n, dim = data.shape
     queries, data = queries.astype(np.float64), data.astype(np.float64)
@@ -46,7 +48,9 @@ def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, ids: np.nda
     place = np.empty((m, n), kind)
     np.put_along_axis(place, order.T, np.arange(n, dtype=kind)[None, :], axis=1)
     spread = float(np.median(values[:, min(n - 1, int(n * 0.84))] - values[:, int(n * 0.16)])) / 2 or 1.0
-    need, most = math.ceil(THRESHOLD * m), min(n, k + 1 + math.ceil(beta * n))
+    need = math.ceil(THRESHOLD * m)
+    # squares of the distance that every vector short of the threshold exceeds, less room for rounding
+    reach = [(m - need + 1) * (r * spread) ** 2 * (1 - 1e-9) for r in ROUNDS]
     norms, q_norms = (data * data).sum(axis=1), (queries * queries).sum(axis=1)
     out = []
     for first in range(0, len(queries), TOGETHER):
@@ -55,18 +59,24 @@ def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, ids: np.nda
         for i in range(len(p)):
             q = first + i
             distance = np.full(n, np.inf)
-            for r, (low, high) in zip(ROUNDS, bounds):
-                # place - low wraps below the window, so that one comparison tests both ends
-                inside = place - low[i].astype(kind)[:, None] < (high[i] - low[i]).astype(kind)[:, None]
-                counts = inside.sum(axis=0, dtype=np.uint8)
-                new = np.flatnonzero((counts >= need) & np.isinf(distance))
-                if len(new):
-                    distance[new] = norms[new] - 2.0 * (data[new] @ queries[q]) + q_norms[q]
-                found = np.flatnonzero(counts >= need)
-                if len(found) >= most:
-                    break
-                if len(found) > k and math.isfinite(r) and np.partition(distance[found], k)[k] <= (r * spread) ** 2:
-                    break
+            wanted = 0.0
+            for r, far, (low, high) in zip(ROUNDS, reach, bounds):
+                if far < wanted:
+                    continue
+                if math.isinf(r):
+                    found = np.arange(n)
+                else:
+                    # place - low wraps below the window, so that one comparison tests both ends
+                    inside = place - low[i].astype(kind)[:, None] < (high[i] - low[i]).astype(kind)[:, None]
+                    found = np.flatnonzero(inside.sum(axis=0, dtype=np.uint8) >= need)
+                new = found[np.isinf(distance[found])]
+                if len(new):  # of many, the products are taken without a copy of the vectors
+                    products = data[new] @ queries[q] if len(new) < n // 8 else (data @ queries[q])[new]
+                    distance[new] = norms[new] - 2.0 * products + q_norms[q]
+                if len(found) > k:
+                    wanted = np.partition(distance[found], k)[k]
+                    if wanted <= far:
+                        break
             found = found[ids[found] != q_ids[q]]
             if len(found) > k:  # the nearest few, with room for rounding, are measured once more
                 near = distance[found]
@@ -82,17 +92,17 @@ def _matrix(x: pd.Series) -> np.ndarray:
     return np.array(x.tolist(), np.float32)
 
 
-def _pair(k: int, beta: float):  # noqa: ANN202
+def _pair(k: int):  # noqa: ANN202
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
             return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         d = d.sort_values("vec_id")
-        return pd.DataFrame(search(_matrix(q["v"]), q["vec_id"].to_numpy(), _matrix(d["v"]), d["vec_id"].to_numpy(), k, beta), columns=["vec_id", "neighbor_id", "distance"])
+        return pd.DataFrame(search(_matrix(q["v"]), q["vec_id"].to_numpy(), _matrix(d["v"]), d["vec_id"].to_numpy(), k), columns=["vec_id", "neighbor_id", "distance"])
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = K, beta: float = BETA) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     """The k nearest other vectors of every vector by Euclidean distance: vec_id, neighbor_id, rank from 1, distance.
 
     Every row is a query. Ties in distance go to the smaller id. Left out are null ids, and vectors that
@@ -113,6 +123,6 @@ def nearest(vectors: DataFrame, k: int = K, beta: float = BETA) -> DataFrame:
     part = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(halves)).cast("int")
     q = good.select("vec_id", "v", F.col("block").alias("i"), part.alias("h"), others.alias("j"))
     d = good.select("vec_id", "v", others.alias("i"), F.col("block").alias("j")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(halves - 1))))
-    found = q.groupBy("i", "h", "j").cogroup(d.select("vec_id", "v", "i", "h", "j").groupBy("i", "h", "j")).applyInPandas(_pair(k, beta), "vec_id long, neighbor_id long, distance double")
+    found = q.groupBy("i", "h", "j").cogroup(d.select("vec_id", "v", "i", "h", "j").groupBy("i", "h", "j")).applyInPandas(_pair(k), "vec_id long, neighbor_id long, distance double")
     w = Window.partitionBy("vec_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "distance")

@@ -228,3 +228,16 @@ def test_sharding(spark, odd, empty):
     out = sharding.shard(odd, 3).collect()
     assert len(out) == len(ODD) and all(r.n_bytes == 0 for r in out if r.doc_id in (1, 2)) and sharding.shard(empty).count() == 0
     assert len({r.shard for r in sharding.shard(odd, 3, "block").collect()}) == 1
+
+
+def test_nearest_loses_no_neighbour(spark):
+    rng = np.random.default_rng(11)
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id is not null").orderBy("vec_id").toPandas()
+    tables = [np.array(given["embedding"].tolist(), np.float32), *(rng.normal(size=(n, dim)).astype(np.float32) for n, dim in ((2000, 128), (1000, 768), (300, 3)))]
+    for x in tables:
+        queries = np.arange(0, len(x), max(1, len(x) // 200))
+        d = ((x[queries, None, :].astype(float) - x[None, :, :]) ** 2).sum(axis=2) if x.shape[1] < 100 else np.stack([((x.astype(float) - x[q]) ** 2).sum(axis=1) for q in queries])
+        d[np.arange(len(queries)), queries] = np.inf
+        want = {(int(q), int(j)) for q, row in zip(queries, d) for j in np.argsort(row, kind="stable")[:10]}
+        got = {(a, b) for a, b, _ in ann.search(x[queries], queries, x, np.arange(len(x)))}
+        assert got == want

@@ -2,8 +2,10 @@
 
 A partial partition holds a number of bytes for each shard. The two partial partitions with the largest
 spread are combined again and again, the fullest slot of one with the emptiest of the other, until one is
-left. Groups are spread over buckets; each bucket is differenced on its own by an executor, and the
-driver differences the buckets' partial partitions in the same way: only slots by buckets reach it.
+left. Groups larger than a bucket's slot are differenced on the driver: fewer than buckets by shards. The others
+are spread over buckets, and an executor differences each bucket together with its part of the driver's partial
+partition, so that a bucket's groups fill up what the large groups leave. The last bucket is differenced
+with the exact bytes of all that is placed before.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from opalgrid.llm.common import saved
 
 SHARDS = 16
-#: Rows of one bucket, about: what an executor differences at once.
+#: Groups of one bucket, about: what an executor differences at once.
 BUCKET_ROWS = 40_000
+PLACED = "grp long, n_bytes long, shard int"
 
 
 def difference(items: Iterable[tuple[list[int], list]], k: int) -> list[list]:
@@ -55,13 +58,26 @@ def difference(items: Iterable[tuple[list[int], list]], k: int) -> list[list]:
     return out
 
 
-def _bucket(k: int):  # noqa: ANN202
+def _single(groups: Iterable[tuple[int, int]], k: int) -> list[tuple[list[int], list]]:
+    """Each group (key, bytes) as a partial partition, by bytes and then by key."""
+    return [([n] + [0] * (k - 1), [[g]] + [[]] * (k - 1)) for g, n in sorted(groups, key=lambda x: (-x[1], x[0]))]
+
+
+def fill(groups: Iterable[tuple[int, int]], there: list[int], turn: int = 0) -> dict[int, int]:
+    """The shard of each group (key, bytes), differenced together with the bytes that lie in the shards; of
+    equally full shards the first is `turn`."""
+    k = len(there)
+    order = [(i + turn) % k for i in range(k)]
+    slots = difference([([there[i] for i in order], [[str(i)] for i in order]), *_single(groups, k)], k)
+    named = ((next(int(x) for x in content if isinstance(x, str)), content) for content in slots)
+    return {g: i for i, content in named for g in content if not isinstance(g, str)}
+
+
+def _filled(there: dict[int, list[int]]):  # noqa: ANN202
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        groups = rows.groupby("grp", sort=True)["n_bytes"].sum()
-        ordered = sorted(zip(groups.index.tolist(), groups.tolist()), key=lambda x: (-x[1], x[0]))
-        slots = difference((([n] + [0] * (k - 1), [[g]] + [[]] * (k - 1)) for g, n in ordered), k)
-        slot = {g: s for s, gs in enumerate(slots) for g in gs}
-        return rows.assign(slot=rows["grp"].map(slot).astype("int32"))
+        b = int(rows["bucket"].iloc[0])
+        shard_of = fill(zip(rows["grp"].tolist(), rows["n_bytes"].tolist()), there[b], b)
+        return rows[["grp", "n_bytes"]].assign(shard=rows["grp"].map(shard_of).astype("int32"))
 
     return run
 
@@ -79,14 +95,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, group_by: str | None = None) ->
         raise ValueError("shards is 1 at least")
     key = F.col(group_by or "text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.when(key.isNull(), F.lit(1)).otherwise(F.lit(0)), F.coalesce(key, F.col("doc_id").cast("string"))).alias("grp"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    buckets = max(1, math.ceil(docs.count() / BUCKET_ROWS))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "grp"), F.lit(buckets)).cast("int"))
-    placed = saved(rows.groupBy("bucket").applyInPandas(_bucket(shards), "doc_id long, grp long, n_bytes long, bucket int, slot int"), "slots")
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("bucket", "slot").agg(F.sum("n_bytes").alias("n")).collect():
-        sums.setdefault(r.bucket, [0] * shards)[r.slot] = r.n
-    final = difference(((sums[b], [[(b, s)] for s in range(shards)]) for b in sorted(sums, key=lambda b: (-sum(sums[b]), b))), shards)
-    where = [(b, s, n) for n, content in enumerate(final) for b, s in content]
-    names = placed.sparkSession.createDataFrame(where, "bucket int, slot int, shard int")
-    # buckets x shards rows, a few for 40,000 documents: joined with what Spark sees of its size
-    return placed.join(names, ["bucket", "slot"]).select("doc_id", "grp", "n_bytes", "shard")
+    rows = saved(rows, "rows")
+    groups = saved(rows.groupBy("grp").agg(F.sum("n_bytes").alias("n_bytes")), "groups")
+    x = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()
+    buckets = max(1, math.ceil(x.groups / BUCKET_ROWS))
+    most = x.n // (buckets * shards) if buckets > 1 else x.n
+    large = {r.grp: r.n_bytes for r in groups.filter(F.col("n_bytes") > most).collect()}
+    there, placed = [0] * shards, []
+    for n, content in enumerate(difference(_single(large.items(), shards), shards)):
+        there[n] = sum(large[g] for g in content)
+        placed.extend((g, large[g], n) for g in content)
+    done = groups.sparkSession.createDataFrame(placed, PLACED)
+    small = groups.filter(F.col("n_bytes") <= most).withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "grp"), F.lit(buckets)).cast("int"))
+    if buckets > 1:
+        sizes = {r.bucket: r.n for r in small.groupBy("bucket").agg(F.sum("n_bytes").alias("n")).collect()}
+        parts, before, total = {}, 0, max(1, sum(sizes.values()))
+        for b in sorted(sizes):
+            after = before + sizes[b]
+            parts[b] = [n * after // total - n * before // total for n in there]
+            before = after
+        done = done.unionByName(saved(small.filter("bucket > 0").groupBy("bucket").applyInPandas(_filled(parts), PLACED), "placed"))
+        for r in done.groupBy("shard").agg(F.sum("n_bytes").alias("n")).collect():
+            there[r.shard] = r.n
+    last = small.filter("bucket = 0").groupBy("bucket").applyInPandas(_filled({0: there}), PLACED)
+    return rows.join(done.unionByName(last).select("grp", "shard"), "grp").select("doc_id", "grp", "n_bytes", "shard")

@@ -241,3 +241,18 @@ def test_nearest_loses_no_neighbour(spark):
         want = {(int(q), int(j)) for q, row in zip(queries, d) for j in np.argsort(row, kind="stable")[:10]}
         got = {(a, b) for a, b, _ in ann.search(x[queries], queries, x, np.arange(len(x)))}
         assert got == want
+
+
+def test_sharding_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 300)
+    rng = random.Random(12)
+    plain = [(i, "y" * 20 + words(rng, rng.randrange(1, 60))) for i in range(1500)]
+    ideal = sum(len(t) for _, t in plain) / 16
+    for shares in ((), (0.85,), (0.5, 0.3, 0.3), (0.45,) * 20):
+        copies = [(10_000 + 1000 * k + j, f"copy {k:02} " * 10) for k, share in enumerate(shares) for j in range(round(share * ideal / 80))]
+        got = sharding.shard(frame(spark, plain + copies), 16).collect()
+        by: dict[int, int] = {}
+        for r in got:
+            by[r.shard] = by.get(r.shard, 0) + r.n_bytes
+        assert len(got) == len(plain) + len(copies) and len({(r.grp, r.shard) for r in got}) == len({r.grp for r in got})
+        assert max(by.values()) <= 1.005 * sum(by.values()) / 16

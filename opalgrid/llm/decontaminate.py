@@ -3,7 +3,11 @@
 Windows of template tokens of the benchmark are joined by hash with those of every document. Matches
 on one alignment (document position minus item position) make a run, and the words behind the
 placeholders of a run must map consistently: one value of the item always stands for the same value in
-the document. So a question with other numbers or names is caught, and a chance likeness isn't.
+the document. So a question with other numbers or names is caught, and a chance likeness isn't. Where they
+don't, only the inconsistent stretch is left out.
+
+A text is read in more than one way, each against the same reading of the items: a capitalised word that
+begins a sentence as a word, and as a name.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ UNITS = (
     "mm cm dm m km mi mile miles inch inches ft foot feet yard yards mg g kg t ton tons tonne tonnes lb lbs oz ounce ounces ms s sec second seconds min minute minutes h hr hrs hour hours day days week weeks "
     "month months year years ml cl l liter liters litre litres gallon gallons usd eur gbp chf dollar dollars euro euros cent cents pound pounds percent pct degree degrees k c f n pa kpa j kj w kw v a hz khz mhz ghz kb mb gb tb kmh mph"
 ).split()
+#: Ways in which a text is read.
+READINGS = 2
 RESULT = "doc_id long, item_id long, matched_windows long, item_windows long, coverage double, n_slots long, n_changed long, kind string"
 _NUM, _NAME, _UNIT = (mix64(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 _DIGIT = np.zeros(256, bool)
@@ -54,12 +60,13 @@ class Templates:
     doc: np.ndarray
 
 
-def templates(raw: np.ndarray, offsets: np.ndarray) -> Templates:
+def readings(raw: np.ndarray, offsets: np.ndarray) -> list[Templates]:
     """A number is digits, with `.` or `,` between; a unit is a known unit right after a number; a name is one
-    or more capitalised words in a row that don't begin a sentence or a line. The rest are lower-cased words."""
+    or more capitalised words in a row that don't begin a sentence or a line. The rest are lower-cased words.
+    In the second reading, those that begin a sentence or a line are names too."""
     s, e, doc = spans(raw, offsets)
     if not len(s):
-        return Templates(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), doc)
+        return [Templates(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), doc)] * READINGS
     low = lower_bytes(raw)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw], dtype=np.int64)])
     number = digits[e] - digits[s] == e - s
@@ -73,23 +80,25 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> Templates:
     stops = np.concatenate([[0], np.cumsum(_STOPS[raw], dtype=np.int64)])
     begins = new.copy()
     begins[1:] |= stops[s[1:]] - stops[e[:-1]] > 0
-    name = upper & lower_rest & ~begins & ~number
+    capital = upper & lower_rest & ~number
     gap = np.zeros(len(s), np.int64)
     gap[1:] = s[1:] - e[:-1]
     between = np.zeros(len(s), np.uint8)
     between[1:] = raw[e[:-1]]
-    prior = lambda x: np.concatenate([[False], x[:-1]]) & ~new
-    follows = (number & prior(number) & (gap == 1) & ((between == 46) | (between == 44))) | (name & prior(name) & (gap == 1) & (between == 32))
-    head = np.flatnonzero(~follows)
-    last = np.append(head[1:], len(s)) - 1
-    start, stop = s[head], e[last]
-    value = hashes(low, start, stop)
-    number, name, new = number[head], name[head], new[head]
+    prior = lambda x, new: np.concatenate([[False], x[:-1]]) & ~new
+    decimal = number & prior(number, new) & (gap == 1) & ((between == 46) | (between == 44))
     units = _unit_hashes()
-    unit = (units[np.minimum(np.searchsorted(units, value), len(units) - 1)] == value) & np.concatenate([[False], number[:-1]]) & ~new
-    token = value.copy()
-    token[number], token[name], token[unit] = _NUM, _NAME, _UNIT
-    return Templates(token, value, number | name | unit, doc[head])
+
+    def read(name: np.ndarray) -> Templates:
+        head = np.flatnonzero(~(decimal | (name & prior(name, new) & (gap == 1) & (between == 32))))
+        value = hashes(low, s[head], e[np.append(head[1:], len(s)) - 1])
+        is_number, is_name = number[head], name[head]
+        unit = (units[np.minimum(np.searchsorted(units, value), len(units) - 1)] == value) & prior(is_number, new[head])
+        token = value.copy()
+        token[is_number], token[is_name], token[unit] = _NUM, _NAME, _UNIT
+        return Templates(token, value, is_number | is_name | unit, doc[head])
+
+    return [read(capital & ~begins), read(capital)]
 
 
 def windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,35 +118,61 @@ def windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Windows of benchmark items by length: hashes in order, item number and token position of each."""
+    """Windows of benchmark items in one reading, by length: hashes in order and token position of each."""
 
     item_ids: np.ndarray
-    first: np.ndarray  # first token of each item, and the end
     items: Templates
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]
     n_windows: np.ndarray
 
 
-def index(items: list[tuple[int, str]]) -> Index:
+def index(items: list[tuple[int, str]]) -> list[Index]:
+    """An index for each reading."""
     items = [(i, t) for i, t in items if i is not None and t]
-    raw, off = buffers(pa.array([t for _, t in items], pa.string()))
-    t = templates(raw, off)
-    count = np.bincount(t.doc, minlength=len(items)) if len(t.doc) else np.zeros(len(items), np.int64)
-    first = np.concatenate([[0], np.cumsum(count)])
+    ids = np.array([i for i, _ in items], np.int64)
+    return [_index(ids, t) for t in readings(*buffers(pa.array([t for _, t in items], pa.string())))]
+
+
+def _index(ids: np.ndarray, t: Templates) -> Index:
+    count = np.bincount(t.doc, minlength=len(ids)) if len(t.doc) else np.zeros(len(ids), np.int64)
     by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    n_windows = np.zeros(len(items), np.int64)
+    n_windows = np.zeros(len(ids), np.int64)
     for n in sorted({min(WINDOW, int(c)) for c in count if c >= SHORTEST}):
         h, at = windows(t, n)
         own = np.minimum(count[t.doc[at]], WINDOW) == n
         h, at = h[own], at[own]
-        n_windows += np.bincount(t.doc[at], minlength=len(items))
+        n_windows += np.bincount(t.doc[at], minlength=len(ids))
         o = np.argsort(h, kind="stable")
         by[n] = (h[o], at[o])
-    return Index(np.array([i for i, _ in items], np.int64), first, t, by, n_windows)
-
-
-def _runs(ix: Index, t: Templates, n: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(text, item, windows, slots, changed slots) of each alignment with enough windows and consistent slots."""
+    return Index(ids, t, by, n_windows)
+
+
+def _consistent(hits: np.ndarray, n: int, at: np.ndarray, theirs: np.ndarray, ours: np.ndarray) -> np.ndarray:
+    """The most windows (starts, in order) with consistent placeholders: the longest stretch of them, or all without a
+    placeholder whose value isn't the most frequent one for the item's value (of equally frequent ones the item's own)."""
+    pairs, number, times = np.unique(np.stack([theirs, ours], 1), axis=0, return_inverse=True, return_counts=True)
+    if len(np.unique(pairs[:, 0])) == len(pairs):
+        return hits
+    order = np.lexsort((pairs[:, 0] != pairs[:, 1], -times, pairs[:, 0]))
+    usual = np.zeros(len(pairs), bool)
+    usual[order[np.concatenate([[True], pairs[order[1:], 0] != pairs[order[:-1], 0]])]] = True
+    odd = at[~usual[number.ravel()]]
+    kept = hits[np.searchsorted(odd, hits + n) == np.searchsorted(odd, hits)]
+    last: dict[int, tuple[int, int, int]] = {}  # by the item's value: the latest value and place, and the latest place of another value
+    clash = np.empty(len(at), np.int64)
+    for j, (p, x, y) in enumerate(zip(at.tolist(), theirs.tolist(), ours.tolist())):
+        value, place, other = last.get(x, (y, -1, -1))
+        clash[j] = other if y == value else place
+        last[x] = (y, p, int(clash[j]))
+    clash = np.concatenate([[-1], np.maximum.accumulate(clash)])
+    first = np.searchsorted(hits, clash[np.searchsorted(at, hits + n)], "right")
+    b = int(np.argmax(np.arange(len(hits)) - first))
+    stretch = hits[first[b] : b + 1]
+    return stretch if len(stretch) >= len(kept) else kept
+
+
+def _runs(ix: Index, t: Templates, n: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, windows, slots, changed slots) of each alignment with enough windows of consistent slots."""
     h, at = windows(t, n)
     keys, places = ix.by_length[n]
     if not len(keys) or not len(h):
@@ -158,30 +193,36 @@ def _runs(ix: Index, t: Templates, n: int) -> Iterator[tuple[int, int, int, int,
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])]))
     size = np.diff(np.append(cut, len(d)))
     need = np.minimum(NEEDED, ix.n_windows[item[cut]])
-    for c, k in zip(cut[size >= need], size[size >= need]):
-        tokens = np.unique((d[c : c + k, None] + np.arange(n)).ravel())
-        mate = tokens - shift[c]
-        slot = t.slot[tokens]
-        theirs, ours = ix.items.value[mate[slot]], t.value[tokens[slot]]
-        pairs = np.unique(np.stack([theirs, ours], 1), axis=0) if slot.any() else np.empty((0, 2))
-        if len(np.unique(pairs[:, 0])) == len(pairs):
-            yield int(doc[c]), int(item[c]), int(k), int(slot.sum()), int((theirs != ours).sum())
+    for c, k, least in zip(cut[size >= need], size[size >= need], need[size >= need]):
+
+        def slots(hits: np.ndarray, shift: int = shift[c]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            tokens = np.unique((hits[:, None] + np.arange(n)).ravel())
+            tokens = tokens[t.slot[tokens]]
+            return tokens, ix.items.value[tokens - shift], t.value[tokens]
+
+        hits = d[c : c + k]
+        found = slots(hits)
+        kept = _consistent(hits, n, *found) if len(found[0]) else hits
+        if len(kept) >= least:
+            _, theirs, ours = slots(kept) if len(kept) < k else found
+            yield int(doc[c]), int(item[c]), len(kept), len(ours), int((theirs != ours).sum())
 
 
-def _match(ix: Index):  # noqa: ANN202
+def _match(indexes: list[Index]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (raw, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
             rows = []
             for a, b in slices(off):
-                t = templates(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for n in ix.by_length:
-                    for doc, item, k, slots, changed in _runs(ix, t, n):
-                        best[doc, item] = max(best.get((doc, item), (0, 0, 0)), (k, slots, -changed))
-                for (doc, item), (k, slots, changed) in sorted(best.items()):
-                    total = int(ix.n_windows[item])
-                    rows.append((ids[a + doc], int(ix.item_ids[item]), k, total, round(k / total, 6), slots, -changed, "reparameterised" if changed else "verbatim"))
+                best: dict[tuple[int, int], tuple] = {}  # share of the item's windows, of equal ones the first reading
+                for number, (ix, t) in enumerate(zip(indexes, readings(raw[off[a] : off[b]], off[a : b + 1] - off[a]))):
+                    for n in ix.by_length:
+                        for doc, item, k, slots, changed in _runs(ix, t, n):
+                            total = int(ix.n_windows[item])
+                            x = (k / total, -number, k, slots, -changed, total)
+                            best[doc, item] = max(best.get((doc, item), x), x)
+                for (doc, item), (share, _, k, slots, changed, total) in sorted(best.items()):
+                    rows.append((ids[a + doc], int(indexes[0].item_ids[item]), k, total, round(share, 6), slots, -changed, "reparameterised" if changed else "verbatim"))
             cols = list(zip(*rows)) if rows else [()] * 8
             kinds = (*(pa.int64(),) * 4, pa.float64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in RESULT.split(", ")])
@@ -203,7 +244,8 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document that holds a benchmark item or a part of it of 13 template
-    tokens in a row (a shorter item: all of it), as it is or with other numbers, names or units.
+    tokens in a row (a shorter item: all of it), as it is or with other numbers, names or units, each value
+    always for the same one.
 
     With the windows on the best alignment, their share of the item's, the placeholders in them, how many
     have another value, and the kind. Null or empty texts and items match nothing; null item_ids are
@@ -212,7 +254,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], RESULT)
-    parts = [docs.mapInArrow(_match(ix), RESULT) for part in _parts(benchmark) if (ix := index(part)).by_length]
+    parts = [docs.mapInArrow(_match(ix), RESULT) for ix in map(index, _parts(benchmark)) if any(x.by_length for x in ix)]
     for k, p in enumerate(parts):
         found = p if k == 0 else found.unionByName(p)
     return found
@@ -222,7 +264,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item leaks, with all their columns, in one pass for each part of the benchmark."""
     for part in _parts(benchmark):
         ix = index(part)
-        if ix.by_length:
+        if any(x.by_length for x in ix):
             match, at = _match(ix), docs.columns.index("text")
 
             def keep(batches: Iterator[pa.RecordBatch], match=match, at=at) -> Iterator[pa.RecordBatch]:  # noqa: ANN001

@@ -256,3 +256,16 @@ def test_sharding_over_several_buckets(spark, monkeypatch):
             by[r.shard] = by.get(r.shard, 0) + r.n_bytes
         assert len(got) == len(plain) + len(copies) and len({(r.grp, r.shard) for r in got}) == len({r.grp for r in got})
         assert max(by.values()) <= 1.005 * sum(by.values()) / 16
+
+
+def test_decontaminate_keeps_what_is_consistent_and_names_that_begin_a_sentence(spark):
+    item = "A farmer has 12 cows and gives 5 of them to Maria before he sells 12 more cows at the old market of the town."
+    names = "Maria has 12 apples. Maria gives 5 apples to Tom. How many apples does Maria keep?"
+    rng = random.Random(13)
+    texts = [item.replace("sells 12", "sells 13"), names.replace("Maria", "Anna"), names.replace("Maria", "Anna").replace("12", "30"), names, item.replace("sells 12", "buys 13").replace("5 of", "12 from")]
+    rows = [(k, f"{words(rng, 30)}. {t} {words(rng, 30)}") for k, t in enumerate(texts)]
+    bench = spark.createDataFrame([(10, item), (11, names)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert {k: r.item_id for k, r in got.items()} == {0: 10, 1: 11, 2: 11, 3: 11}
+    assert got[3].kind == "verbatim" and got[1].n_changed == 3 and got[2].n_changed == 4 and got[1].coverage == 1.0
+    assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [4]

@@ -7,7 +7,8 @@ the document. So a question with other numbers or names is caught, and a chance
 don't, only the inconsistent stretch is left out.
 
 A text is read in more than one way, each against the same reading of the items: a capitalised word that
-begins a sentence as a word, and as a name.
+begins a sentence as a word, and as a name; and by the words, numbers and names as they are, so that verbatim
+copies match however few plain words they have.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ UNITS = (
     "month months year years ml cl l liter liters litre litres gallon gallons usd eur gbp chf dollar dollars euro euros cent cents pound pounds percent pct degree degrees k c f n pa kpa j kj w kw v a hz khz mhz ghz kb mb gb tb kmh mph"
 ).split()
 #: Ways in which a text is read.
-READINGS = 2
+READINGS = 3
 RESULT = "doc_id long, item_id long, matched_windows long, item_windows long, coverage double, n_slots long, n_changed long, kind string"
 _NUM, _NAME, _UNIT = (mix64(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 _DIGIT = np.zeros(256, bool)
@@ -63,7 +64,8 @@ class Templates:
 def readings(raw: np.ndarray, offsets: np.ndarray) -> list[Templates]:
     """A number is digits, with `.` or `,` between; a unit is a known unit right after a number; a name is one
     or more capitalised words in a row that don't begin a sentence or a line. The rest are lower-cased words.
-    In the second reading, those that begin a sentence or a line are names too."""
+    In the second reading, those that begin a sentence or a line are names too. In the third,
+    nothing is a placeholder: numbers and single lower-cased words by their values."""
     s, e, doc = spans(raw, offsets)
     if not len(s):
         return [Templates(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), doc)] * READINGS
@@ -98,7 +100,8 @@ def readings(raw: np.ndarray, offsets: np.ndarray) -> list[Templates]:
         token[is_number], token[is_name], token[unit] = _NUM, _NAME, _UNIT
         return Templates(token, value, is_number | is_name | unit, doc[head])
 
-    return [read(capital & ~begins), read(capital)]
+    plain = read(np.zeros(len(s), bool))
+    return [read(capital & ~begins), read(capital), Templates(plain.value, plain.value, np.zeros(len(plain.doc), bool), plain.doc)]
 
 
 def windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,14 +217,14 @@ def _match(indexes: list[Index]):  # noqa: ANN202
             ids, (raw, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
             rows = []
             for a, b in slices(off):
-                best: dict[tuple[int, int], tuple] = {}  # share of the item's windows, of equal ones the first reading
+                best: dict[tuple[int, int], tuple] = {}  # by the share of the item's windows, then the fewest changes, then the first reading
                 for number, (ix, t) in enumerate(zip(indexes, readings(raw[off[a] : off[b]], off[a : b + 1] - off[a]))):
                     for n in ix.by_length:
                         for doc, item, k, slots, changed in _runs(ix, t, n):
                             total = int(ix.n_windows[item])
-                            x = (k / total, -number, k, slots, -changed, total)
+                            x = (k / total, -changed, -number, k, slots, total)
                             best[doc, item] = max(best.get((doc, item), x), x)
-                for (doc, item), (share, _, k, slots, changed, total) in sorted(best.items()):
+                for (doc, item), (share, changed, _, k, slots, total) in sorted(best.items()):
                     rows.append((ids[a + doc], int(indexes[0].item_ids[item]), k, total, round(share, 6), slots, -changed, "reparameterised" if changed else "verbatim"))
             cols = list(zip(*rows)) if rows else [()] * 8
             kinds = (*(pa.int64(),) * 4, pa.float64(), pa.int64(), pa.int64(), pa.string())
@@ -247,8 +250,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens in a row (a shorter item: all of it), as it is or with other numbers, names or units, each value
     always for the same one.
 
-    With the windows on the best alignment, their share of the item's, the placeholders in them, how many
-    have another value, and the kind. Null or empty texts and items match nothing; null item_ids are
+    With the windows on the best alignment, their share of the item's, the placeholders in them (none where it is
+    found by its literal values), how many have another value, and the kind. Null or empty texts and items match nothing; null item_ids are
     left out; null doc_ids stay null; items of fewer than 5 tokens can't be told from chance and are left
     out; repeated rows give repeated matches; other columns are ignored; empty tables give an empty result.
     """

@@ -269,3 +269,17 @@ def test_decontaminate_keeps_what_is_consistent_and_names_that_begin_a_sentence(
     assert {k: r.item_id for k, r in got.items()} == {0: 10, 1: 11, 2: 11, 3: 11}
     assert got[3].kind == "verbatim" and got[1].n_changed == 3 and got[2].n_changed == 4 and got[1].coverage == 1.0
     assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [4]
+
+
+def test_decontaminate_finds_verbatim_items_of_few_plain_words(spark):
+    sums = "Compute 12 + 7 - 3, then 45 + 9 - 6, then 81 + 4 - 2, then 17 + 5 - 8."
+    short = "Anna Bell Carl 12 kg 5 m"
+    story = "Maria and Tom met Anna in Paris on Monday while 3 dogs and 4 cats slept at home near the river."
+    rng = random.Random(14)
+    texts = [sums, "Now " + short, story.lower(), story.replace(" ", "\n"), sums.replace("45", "46").replace("81", "82")]
+    rows = [(k, f"{words(rng, 30)}. {t} {words(rng, 30)}") for k, t in enumerate(texts)]
+    bench = spark.createDataFrame([(20, sums), (21, short), (22, story)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert {k: r.item_id for k, r in got.items()} == {0: 20, 1: 21, 2: 22, 3: 22}
+    assert all(r.kind == "verbatim" and r.coverage == 1.0 for r in got.values())
+    assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [4]

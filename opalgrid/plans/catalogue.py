@@ -209,4 +209,5 @@ def _streamed(plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> Q
 
 add("stream_windows", _streamed(lambda e: streams.window_counts(e).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add("stream_distinct", _streamed(lambda e: streams.distinct(e, ["event_id"]).select("event_id", "user_id")), "SELECT DISTINCT event_id, user_id FROM events")
-add("stream_sessions", _streamed(lambda e: streams.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")))
+# in complete mode, as sessions that are open at the end would never be appended
+add("stream_sessions", _streamed(lambda e: streams.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "complete"))

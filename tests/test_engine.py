@@ -185,3 +185,25 @@ def test_streams(spark, tmp_path):
     s = streams.source(spark, e, str(tmp_path / "in"), files=1)
     streams.run(s, "", str(tmp_path / "c2"), each=streams.fresh(str(tmp_path / "seen"), "event_id", str(tmp_path / "new")))
     assert spark.read.parquet(str(tmp_path / "new/b=1")).count() == 3
+
+
+def test_stream_sessions_over_the_whole_table(spark):
+    from datetime import UTC
+
+    from opalgrid.plans.catalogue import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    times: dict[int, list] = {}
+    for r in spark.read.parquet(f"{folder}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")).collect():
+        times.setdefault(r.user_id, []).append(r.ts)
+    want = []
+    for user, ts in times.items():
+        found = []
+        for at in sorted(ts):
+            if found and at < found[-1][1] + 1_800_000_000:
+                found[-1][1:] = [at, found[-1][2] + 1]
+            else:
+                found.append([at, at, 1])
+        want += [(user, str(datetime.fromtimestamp(first // 1_000_000, UTC).replace(tzinfo=None)), n) for first, _, n in found]
+    got = [(r.user_id, r.start, r.n) for r in QUERIES["stream_sessions"](spark, folder).collect()]
+    assert sorted(got) == sorted(want)

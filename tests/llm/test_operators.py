@@ -283,3 +283,12 @@ def test_decontaminate_finds_verbatim_items_of_few_plain_words(spark):
     assert {k: r.item_id for k, r in got.items()} == {0: 20, 1: 21, 2: 22, 3: 22}
     assert all(r.kind == "verbatim" and r.coverage == 1.0 for r in got.values())
     assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [4]
+
+
+def test_arc_record_that_is_declared_too_long_ends_at_the_next_header():
+    body = "HTTP/1.0 200 OK\r\n\r\n<p>x</p>"
+    record = lambda name, size: f"http://e.org/{name} 1.2.3.4 20000102030405 text/html {size}\n{body}\n"
+    head = "filedesc://a.arc 0.0.0.0 20000101000000 text/plain 14\n1 0 x\nURL ...\n\n"
+    got = list(arc.convert("a", (head + record("a", 99_999) + record("b", len(body)) + record("c", 99_999)).encode()))
+    assert [(r["target_uri"], r["truncated"]) for r in got] == [(None, False), ("http://e.org/a", True), ("http://e.org/b", False), ("http://e.org/c", True)]
+    assert [r["content_length"] for r in got[1:3]] == [len(body)] * 2

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def prose(rng, n, lang):
     return " ".join(rng.choices(VOCABULARY[lang], k=n))
 
 
+def pq_rows(path, columns):
+    t = pq.read_table(path, columns=list(columns))
+    return [SimpleNamespace(**r) for r in t.to_pylist()]
+
+
 SCHEMA = "doc_id long, text string, lang string, grp string, shard string, rate string, block string"
 
 
@@ -50,7 +57,70 @@ def empty(spark):
 def net():
     rng = random.Random(1)
     data = [(prose(rng, 40, y), y) for y in VOCABULARY for _ in range(150)]
-    return language_id.train([t for t, _ in data], [y for _, y in data], steps=120)
+    return language_id.train([t for t, _ in data], [y for _, y in data])
+
+
+def plain_states(net, direction, data):
+    """The gated unit byte by byte, in plain Python."""
+    size = net.recur.shape[-1]
+    h, out = [0.0] * size, []
+    for byte in data:
+        a = [sum(net.recur[direction, r, j] * h[j] for j in range(size)) for r in range(2 * size)]
+        f = [min(1.0, max(0.0, a[r] + net.embed[direction, r, byte])) for r in range(size)]
+        n = [min(1.0, max(-1.0, a[size + r] * f[r] + net.embed[direction, size + r, byte])) for r in range(size)]
+        h = [f[r] * n[r] + (1 - f[r]) * h[r] for r in range(size)]
+        out.append(h)
+    return out
+
+
+def test_language_id_matches_a_plain_network(net):
+    rng = random.Random(21)
+    texts = [prose(rng, 12, "aa").encode(), b"x", "día 5\u00fc".encode(), prose(rng, 20, "bb").encode()]  # all within one window
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    labels, sums, _ = language_id.label_positions(net, raw, off)
+    pad = [256] * language_id.CONTEXT
+    for k, t in enumerate(texts):
+        data = pad + list(t) + [256] * (language_id.WINDOW + language_id.CONTEXT - len(t))
+        fwd, bwd = plain_states(net, 0, data), plain_states(net, 1, data[::-1])[::-1]
+        total = np.zeros(len(net.langs))
+        for i in range(len(t)):
+            z = np.array(fwd[len(pad) + i] + bwd[len(pad) + i]) @ net.out.astype(float) + net.bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            total += p
+            assert p[labels[off[k] + i]] > p.max() - 1e-4
+        assert np.abs(total - sums[k]).max() < 1e-3 * len(t)
+
+
+def test_language_id_gradients_are_those_of_finite_differences():
+    rng = np.random.default_rng(0)
+    h = 4
+    net = language_id.Network(["a", "b", "zxx"], rng.normal(size=(2, 2 * h, 257)) * 0.3, rng.normal(size=(2, 2 * h, h)) * 0.3, rng.normal(size=(2 * h, 3)), np.zeros(3))
+    net.embed[:, :h] += 0.5
+    x, y = rng.integers(97, 101, (9, 5)), np.array([0, 1, 2, 0, 1])
+    x[7:, 2] = 256
+    _, grads = language_id.gradients(net, x, y)
+    for w, g in zip(net.weights(), grads):
+        for _ in range(8):
+            i = tuple(int(rng.integers(0, n)) if n != 257 else int(rng.integers(97, 101)) for n in w.shape)
+            was = w[i]
+            w[i] = was + 1e-6
+            up, _ = language_id.gradients(net, x, y)
+            w[i] = was - 1e-6
+            down, _ = language_id.gradients(net, x, y)
+            w[i] = was
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-6
+
+
+@pytest.mark.parametrize("seed", [17, 18, 19, 20, 21])
+def test_language_id_learns_whatever_the_seed(seed):
+    given = [(r.text, r.lang) for r in pq_rows("/root/testdata/sf0.01/documents.parquet", ("text", "lang"))]
+    fit, fresh = given[::2], given[1::2]
+    net = language_id.train([t for t, _ in fit], [y for _, y in fit], seed=seed)
+    raw = np.frombuffer("".join(t for t, _ in fresh).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t, _ in fresh])])
+    _, sums, _ = language_id.label_positions(net, raw, off)
+    right = np.array([net.langs[b] == y for b, (_, y) in zip(sums.argmax(axis=1), fresh)])
+    assert right.mean() > 0.97
 
 
 def test_language_id(spark, net, odd, empty):
@@ -70,8 +140,8 @@ def test_language_id_labels_every_position(net):
     rng = random.Random(9)
     one, two = prose(rng, 200, "aa"), prose(rng, 200, "bb")
     raw = np.frombuffer((one + two).encode(), np.uint8)
-    labels, sums = language_id.label_positions(net, raw, np.array([0, len(raw)]))
-    assert len(labels) == len(raw) and abs(sums.sum() - len(raw)) < 1e-2
+    labels, sums, counts = language_id.label_positions(net, raw, np.array([0, len(raw)]))
+    assert len(labels) == len(raw) and abs(sums.sum() - len(raw)) < 1e-2 and (counts[0] == np.bincount(labels, minlength=len(net.langs))).all()
     assert (labels[: len(one)] == net.langs.index("aa")).mean() > 0.9 and (labels[len(one) :] == net.langs.index("bb")).mean() > 0.9
 
 

@@ -1,11 +1,12 @@
 """Mixing to target weights by soft membership.
 
 A classifier of the labelled table gives every document its probabilities of the domains `high`, `low`
-and `toxic`. Nonnegative rates are then fitted so that the expected tokens of each domain,
-sum of rate * tokens * probability, meet the targets: least squares by projected gradient. A step moves a
-document's rate along its probabilities, with the errors weighted by the inverse of
-sum(tokens * p p'), and cuts at 0. In this metric a step is exact where no rate is cut, so a few rounds do.
-Each round is one aggregation over the table of probabilities; the driver holds a number for each domain.
+and `toxic`. Rates from 0 to MOST_RATE are then fitted so that the expected tokens of each domain,
+sum of rate * tokens * probability, meet the targets: least squares by projected gradient. A round is one
+pass over the table of probabilities that tries several steps at once, each cut to the bounds: along the gradient, from
+the step 1 / L that can't fail to lower the error up to longer ones, and along the gradient weighted by the inverse of
+sum(tokens * p p') over the documents whose rates aren't at a bound, which is exact where none is cut. The best
+step is taken, so the error never rises. The driver holds a few numbers for each step.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 #: Bound on the labelled documents of the fit, and on the words that it keeps for each domain.
 TRAIN_DOCS, WORDS = 4000, 256
-ROUNDS, TOLERANCE = 30, 1e-6
+#: The fit ends when the tokens of the domains are off by this share of all tokens, or when the best step lowers the squared
+#: error by less than this share of it: then no rates within the bounds come nearer.
+TOLERANCE, STALLED = 1e-6, 1e-4
+#: Most copies of one document. With the bound, targets that few documents could only meet in thousands of copies stay unmet, and the residual says so.
+MOST_RATE = 1000.0
 _SHAPES = 6
 
 
@@ -139,60 +144,113 @@ def _posteriors(model: Classifier | None):  # noqa: ANN202
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Classifier | None:
-    """The classifier of at most `most` labelled documents, those with the smallest hash of their id."""
+    """The classifier of at most `most` labelled documents, those with the smallest hash of their id; of labels or
+    texts with one doc_id the smallest counts."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).filter("doc_id is not null and domain is not null").dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64(F.lit(29), "doc_id")).orderBy("h", "doc_id").limit(most)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).filter("doc_id is not null and domain is not null")
+    chosen = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = sorted(texts.join(F.broadcast(chosen.drop("h")), "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain")).collect(), key=lambda r: r.doc_id)
     return train([r.text for r in rows], [r.domain for r in rows]) if rows else None
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """Steps of the projected gradient: what each round takes from a rate for each domain's probability."""
-    p, t = [F.col(f"p_{n}") for n in DOMAINS], F.col("tokens").cast("double")
+@dataclass
+class Rates:
+    """Steps that lead from rate 1 to the fitted rates: each takes `step @ probabilities` off a rate and cuts it to the bounds."""
+
+    steps: list[np.ndarray]
+    residual: float  # tokens that the domains are off by, as a share of all
+    errors: list[float]  # squared error after each round, from the start
+
+    def __call__(self, p: np.ndarray) -> np.ndarray:
+        r = np.ones(len(p))
+        for g in self.steps:
+            r = np.clip(r - p @ g, 0.0, MOST_RATE)
+        return r
+
+
+def _try(steps: list[np.ndarray], trials: list[np.ndarray]):  # noqa: ANN202
+    """For each trial step: tokens of each domain, and sum(tokens * p p') over rates within the bounds."""
+    k = len(DOMAINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(trials), k + k * k))
+        for batch in batches:
+            t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            p = np.stack([batch.column(1 + c).to_numpy(zero_copy_only=False) for c in range(k)], 1)
+            now = Rates(steps, 0, [])(p)
+            for n, g in enumerate(trials):
+                r = np.clip(now - p @ g, 0.0, MOST_RATE)
+                free = (r > 0) & (r < MOST_RATE)
+                total[n, :k] += (r * t) @ p
+                total[n, k:] += (p.T @ (p * (t * free)[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(trials)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["n", "x"])
+
+    return run
+
+
+def fit_rates(table: DataFrame, targets: dict[str, float]) -> Rates:
+    """Rates of a table of tokens and probabilities: the projected gradient, to convergence."""
     k = len(DOMAINS)
-    first = table.agg(*(F.sum(t * p[a] * p[b]).alias(f"h{a}{b}") for a in range(k) for b in range(k)), F.sum(t).alias("all")).first()
-    if not first["all"]:
-        return []
-    metric = np.linalg.pinv(np.array([[first[f"h{a}{b}"] for b in range(k)] for a in range(k)]), rcond=1e-9)
-    share = sum(targets.values())
-    goal = np.array([targets.get(n, 0.0) / share * first["all"] for n in DOMAINS])
-    steps: list[list[float]] = []
-    for _ in range(ROUNDS):
-        r = rate(steps)
-        now = table.agg(*(F.sum(r * t * x).alias(n) for x, n in zip(p, DOMAINS))).first()
-        error = np.array([now[n] for n in DOMAINS]) - goal
-        if np.abs(error).sum() <= TOLERANCE * goal.sum():
+    table = table.select("tokens", *(f"p_{n}" for n in DOMAINS))
+
+    def tried(steps: list[np.ndarray], trials: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sums = table.mapInArrow(_try(steps, trials), "n int, x array<double>").groupBy("n").agg(F.array(*(F.sum(F.col("x")[i]) for i in range(k + k * k))).alias("x"))
+        by = {r.n: np.array(r.x) for r in sums.collect()}
+        return [(by[n][:k], by[n][k:].reshape(k, k)) if n in by else (np.zeros(k), np.zeros((k, k))) for n in range(len(trials))]
+
+    ((now, free),) = tried([], [np.zeros(k)])
+    everything = now.sum()  # at rate 1
+    if not everything:
+        return Rates([], 0.0, [])
+    goal = np.array([targets.get(n, 0.0) for n in DOMAINS]) / sum(targets.values()) * everything
+    short = 1 / np.linalg.eigvalsh(free)[-1]  # 1 / L
+    square = lambda x: float((((x - goal) / everything) ** 2).sum())
+    steps, errors = [], [square(now)]
+    while (off := float(np.abs(now - goal).sum() / everything)) > TOLERANCE:
+        error = now - goal
+        weighted = np.linalg.pinv(free, rcond=1e-9, hermitian=True) @ error
+        trials = [*(error * short * x for x in (1, 4, 16, 64, 256, 1024)), *(weighted * x for x in (0.1, 0.25, 0.5, 1, 1.5, 2.5))]
+        found = tried(steps, trials)
+        best = min(range(len(trials)), key=lambda n: square(found[n][0]))
+        if square(found[best][0]) > errors[-1] * (1 - STALLED):
             break
-        steps.append((metric @ error).tolist())
-    return steps
+        now, free = found[best]
+        steps = [*steps, trials[best]]
+        errors.append(square(now))
+    return Rates(steps, off, errors)
+
+
+def _rated(rates: Rates, columns: list[int]):  # noqa: ANN202
+    """Batches with a rate and the residual after their columns; `columns` are the places of the probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p)), pa.array(np.full(len(p), rates.residual))], [*batch.schema.names, "rate", "residual"])
+
+    return run
 
 
-def rate(steps: list[list[float]]) -> Column:
-    r = F.lit(1.0)
-    for g in steps:
-        move = F.lit(0.0)
-        for n, x in zip(DOMAINS, g):
-            move = move + F.col(f"p_{n}") * F.lit(float(x))
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+_P = ", ".join(f"p_{n} double" for n in DOMAINS)
 
 
 def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, tokens, p_high, p_low, p_toxic, rate.
+    """One row for each row of docs: doc_id, tokens, p_high, p_low, p_toxic, rate, residual.
 
     The rates keep the number of tokens and give the domains the target weights, as near as
-    nonnegative rates can. Null and empty texts have 0 tokens and a rate all the same. Null doc_ids stay
+    rates between 0 and MOST_RATE can; residual says how near, as a share of all tokens, the same in every row.
+    Null and empty texts have 0 tokens and a rate all the same. Null doc_ids stay
     null; repeated rows have the same rate; equal probabilities get equal rates. Without labels of two
-    domains all probabilities are equal and rates stay 1. An empty table gives an empty result.
-    Labels without a document, with nulls, or repeated for a doc_id (one counts) do no harm; other columns
+    domains all probabilities are equal, rates stay 1 and the residual is 0. An empty table gives an empty result.
+    Labels without a document, with nulls, or repeated for a doc_id (the lowest domain counts) do no harm; other columns
     are ignored.
     """
     model = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = saved(rows.mapInArrow(_posteriors(model), "doc_id long, tokens long, " + ", ".join(f"p_{n} double" for n in DOMAINS)), "posteriors")
-    steps = fit_rates(table, targets or TARGETS) if model else []
-    return table.withColumn("rate", rate(steps))
+    table = saved(rows.mapInArrow(_posteriors(model), f"doc_id long, tokens long, {_P}"), "posteriors")
+    rates = fit_rates(table, targets or TARGETS) if model else Rates([], 0.0, [])
+    return table.mapInArrow(_rated(rates, [2, 3, 4]), f"doc_id long, tokens long, {_P}, rate double, residual double")
 
 
 def copies(r: Column, doc_id: str = "doc_id", seed: int = 41) -> Column:
@@ -202,27 +260,26 @@ def copies(r: Column, doc_id: str = "doc_id", seed: int = 41) -> Column:
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with each row taken as often as its rate says: left out, once, or repeated; all columns stay.
-    A row with a null doc_id is taken once."""
+    A row with a null doc_id is taken once; repeated rows are taken equally often; null and empty texts have a rate like others; an
+    empty table gives an empty one; without labels of two domains docs are returned as they are."""
     model = fit(docs, labels)
     if model is None:
         return docs
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    steps = fit_rates(saved(named.mapInArrow(_posteriors(model), "doc_id long, tokens long, " + ", ".join(f"p_{n} double" for n in DOMAINS)), "posteriors"), targets or TARGETS)
-    fields, columns = docs.schema, docs.columns
-    extra = ["__opalgrid_" + x for x in ("tokens", *(f"p_{n}" for n in DOMAINS))]
-    wide = StructType([*fields.fields, StructField(extra[0], LongType()), *(StructField(x, DoubleType()) for x in extra[1:])])
+    fields, columns = docs.schema.fields, docs.columns
+    extra = ["__opalgrid_tokens", *(f"__opalgrid_p_{n}" for n in DOMAINS)]
+    wide = StructType([*fields, StructField(extra[0], LongType()), *(StructField(x, DoubleType()) for x in extra[1:])])
     run, at = _posteriors(model), columns.index("text")
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (p,) = run(iter([pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], ["doc_id", "text"])]))
+            (p,) = run(iter([pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at).cast(pa.string())], ["doc_id", "text"])]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *p.columns[1:]], [*columns, *extra])
 
-    r = F.lit(1.0)
-    for g in steps:
-        move = F.lit(0.0)
-        for x, w in zip(extra[1:], g):
-            move = move + F.col(x) * F.lit(float(w))
-        r = F.greatest(F.lit(0.0), r - move)
-    times = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(copies(r))
-    return docs.mapInArrow(attach, wide).withColumn("__opalgrid_copy", F.explode(F.array_repeat(F.lit(1), times))).select([F.col(f"`{c}`") for c in fields.names])
+    # texts are classified once: rows and probabilities are written together, and the fit reads the probabilities' columns alone
+    table = saved(docs.mapInArrow(attach, wide), "posteriors")
+    rates = fit_rates(table.select(*(F.col(x).alias(x.removeprefix("__opalgrid_")) for x in extra)), targets or TARGETS)
+    rate = F.lit(1.0)
+    for g in rates.steps:
+        rate = F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), rate - sum((F.col(x) * F.lit(float(w)) for x, w in zip(extra[1:], g)), F.lit(0.0))))
+    times = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(copies(rate))
+    return table.withColumn("__opalgrid_copy", F.explode(F.array_repeat(F.lit(1), times))).select([F.col(f"`{c}`") for c in columns])

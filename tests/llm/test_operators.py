@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from itertools import combinations
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -161,20 +163,40 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.secret_scan(odd).count() == 0 and secret_scan.secret_scan(empty).count() == 0
 
 
-def test_mixing_meets_its_targets(spark, odd, empty):
+def posteriors(spark, n=500, mix=(2, 1, 0.3)):
     rng = np.random.default_rng(4)
-    p = rng.dirichlet([2, 1, 0.3], 500)
-    rows = [(k, int(rng.integers(1, 900)), *map(float, p[k])) for k in range(500)]
-    t = spark.createDataFrame(rows, "doc_id long, tokens long, p_high double, p_low double, p_toxic double").cache()
-    steps = mixing.fit_rates(t, {"high": 0.7, "low": 0.2, "toxic": 0.1})
-    r = F.col("rate")
-    x = t.withColumn("rate", mixing.rate(steps)).agg(F.min(r).alias("least"), F.sum("tokens").alias("all"), *(F.sum(r * F.col("tokens") * F.col(f"p_{n}")).alias(n) for n in mixing.DOMAINS)).first()
-    assert x.least >= 0 and all(abs(x[n] / x["all"] - w) < 1e-4 for n, w in (("high", 0.7), ("low", 0.2), ("toxic", 0.1)))
-    labels = spark.createDataFrame([(4, 1, 0, "z"), (5, 0, 1, "z"), (6, 0, 0, "z"), (99, 1, 0, None), (None, 1, 1, None)], "doc_id long, quality int, toxic int, tokens string")
+    p, t = rng.dirichlet(mix, n), rng.integers(1, 900, n)
+    rows = [(k, int(t[k]), *map(float, p[k])) for k in range(n)]
+    return p, t, spark.createDataFrame(rows, "doc_id long, tokens long, p_high double, p_low double, p_toxic double")
+
+
+@pytest.mark.parametrize("shares", [(0.7, 0.2, 0.1), (0.05, 0.05, 0.9), (0.98, 0.01, 0.01), (0.0, 0.0, 1.0)])
+def test_mixing_fits_as_well_as_plain_least_squares(spark, shares):
+    p, t, table = posteriors(spark)
+    rates = mixing.fit_rates(table, dict(zip(mixing.DOMAINS, shares)))
+    goal = np.array(shares) * t.sum()
+    square = lambda r: ((((r * t) @ p - goal) / t.sum()) ** 2).sum()
+    r, high = np.ones(len(t)), np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
+    for _ in range(60_000):  # the plain projected gradient, step 1 / L
+        r = np.clip(r - p @ ((r * t) @ p - goal) / high, 0, mixing.MOST_RATE)
+    got = rates(p)
+    assert got.min() >= 0 and all(b < a for a, b in zip(rates.errors, rates.errors[1:]))
+    assert square(got) <= square(r) * 1.02 + 1e-10
+    assert abs(np.abs((got * t) @ p - goal).sum() / t.sum() - rates.residual) < 1e-9
+
+
+def test_mixing_on_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(4, 1, 0, "z"), (5, 0, 1, "z"), (6, 0, 0, "z"), (6, 0, 1, "z"), (99, 1, 0, None), (None, 1, 1, None)], "doc_id long, quality int, toxic int, tokens string")
     out = mixing.mixing(odd, labels).collect()
     assert len(out) == len(ODD) and all(x.rate >= 0 for x in out) and all(x.tokens == 0 for x in out if x.doc_id in (1, 2, 3))
-    assert mixing.mixing(empty, labels).count() == 0 and {x.rate for x in mixing.mixing(odd, labels.limit(0)).collect()} == {1.0}
-    assert mixing.mixed(odd, labels).columns == odd.columns
+    assert len({x.rate for x in out if x.doc_id == 6}) == 1 and sum(x.doc_id is None for x in out) == 1
+    assert mixing.mixing(empty, labels).count() == 0 and {(x.rate, x.residual) for x in mixing.mixing(odd, labels.limit(0)).collect()} == {(1.0, 0.0)}
+    took = mixing.mixed(odd, labels)
+    assert took.columns == odd.columns and took.filter("doc_id is null").count() == 1
+    times = {x.doc_id: x.rate for x in out}
+    for i, n in Counter(x.doc_id for x in took.collect() if x.doc_id is not None).items():
+        assert n in {m * (1 + (i == 6)) for m in (math.floor(times[i]), math.floor(times[i]) + 1)}
+    assert mixing.mixed(empty, labels).count() == 0
 
 
 def test_decontaminate(spark, odd, empty):
@@ -198,7 +220,7 @@ def grams(t):
     return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
 
-def test_ngram_join_is_exact(spark, empty):
+def near_rows():
     rng = random.Random(6)
     base = [words(rng, 30) for _ in range(25)]
     rows = []
@@ -207,25 +229,55 @@ def test_ngram_join_is_exact(spark, empty):
         for _ in range(rng.randrange(0, 6)):
             w[rng.randrange(len(w))] = words(rng, 1)
         rows.append((k, " ".join(w)))
-    rows += [(200 + k, base[0]) for k in range(40)] + [(300, "one"), (301, "One!"), (302, ""), (303, None)]
-    sets = {i: grams((t or "").replace("!", "")) for i, t in rows}
-    want = {(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    got, removed = set(), set()
-    for r in ngram_join.ngram_join(frame(spark, rows)).collect():
-        same = r.docs_a == r.docs_b
-        got |= {(min(a, b), max(a, b)) for a in r.docs_a for b in r.docs_b if a != b} if same else {(min(a, b), max(a, b)) for a in r.docs_a for b in r.docs_b}
-    assert got == want
-    removed = {r.doc_id for r in ngram_join.duplicates(frame(spark, rows)).collect()}
-    parent = {i: i for i in sets}
-    for _ in range(len(sets)):
-        for a, b in want:
+    return rows + [(200 + k, base[0]) for k in range(40)] + [(300, "one"), (301, "One!"), (302, ""), (303, None)]
+
+
+def brute_classes(sets):
+    """Links of each document and its class, by comparing all pairs."""
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = {(a, b): similar(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and similar(a, b) >= 0.5}
+    links, best, parent = {}, {}, {i: i for i in sets}
+    for p, j in pairs.items():
+        for x in p:
+            links[x], best[x] = links.get(x, 0) + 1, max(best.get(x, 0), j)
+    for _ in sets:
+        for a, b in pairs:
             parent[a] = parent[b] = min(parent[a], parent[b])
-    assert removed == {i for i in sets if parent[i] != i}
-    assert ngram_join.ngram_join(empty).count() == 0 and ngram_join.duplicates(empty).count() == 0
+    return {i: (parent[i], sum(parent[x] == parent[i] for x in sets), links[i], round(best[i], 9)) for i in links}
+
+
+@pytest.mark.parametrize("block", [3000, 4])
+def test_ngram_join_is_exact(spark, empty, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rows = near_rows()
+    want = brute_classes({i: grams((t or "").replace("!", "")) for i, t in rows})
+    got = {r.doc_id: (r.class_id, r.class_size, r.n_links, round(r.max_jaccard, 9)) for r in ngram_join.ngram_join(frame(spark, rows + rows[:3])).collect()}
+    assert got == want
+    assert ngram_join.ngram_join(empty).count() == 0 and ngram_join.distinct(empty).count() == 0
+
+
+def test_distinct_keeps_one_row_of_each_class(spark):
+    rows = near_rows()
+    want = brute_classes({i: grams((t or "").replace("!", "")) for i, t in rows})
+    extra = [(None, rows[0][1]), (None, rows[0][1]), (900, "a text of its own that nobody repeats"), (900, "a text of its own that nobody repeats"), (900, rows[5][1]), (None, None), (None, "some other thing without any number at all"), (None, "some other thing without any number at all")]
+    got = ngram_join.distinct(frame(spark, rows + rows[:3] + extra)).collect()
+    kept = sorted((r.doc_id for r in got if r.doc_id is not None))
+    assert kept == sorted([*(i for i, _ in rows if i not in want or want[i][0] == i), 900])
+    assert sorted(str(r.text)[:10] for r in got if r.doc_id is None) == ["None", "some other"]
+
+
+def test_ngram_blocks_number_their_documents(monkeypatch):
+    texts = [f"w{k} x y" for k in range(90_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["rid", "doc_id", "text"])
+    blocks = list(ngram_join._sets(iter([batch]), 3))
+    assert sum(len(x[0]) for x in blocks) == len(texts) and max(len(x[0]) for x in blocks) < 65535
 
 
-def test_ngram_join_on_odd_rows(odd):
+def test_ngram_join_on_odd_rows(spark, odd):
     assert ngram_join.ngram_join(odd).count() == 0
+    dotted = odd.withColumnRenamed("grp", "a.b").withColumnRenamed("rate", "keep")
+    out = ngram_join.distinct(dotted)
+    assert out.columns == dotted.columns and out.count() == len(ODD) - 1
 
 
 def test_nearest(spark):

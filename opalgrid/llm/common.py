@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -23,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; only where it is unset, a folder of its own."""
+    """The shared folder of `spark.checkpoint.dir`; only where it is unset and Spark runs locally, a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="opalgrid-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -55,6 +58,15 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, where its allocator can: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def buffers(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array, nulls as empty, and the n + 1 offsets of its values."""
     if batch.null_count:
@@ -66,12 +78,12 @@ def buffers(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole values of about `most` bytes each; a longer value is a range of its own."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, most_values: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of whole values of about `most` bytes and at most `most_values` each; a longer value is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, i + most_values, max(j, i + 1))
         yield i, j
         i = j
 

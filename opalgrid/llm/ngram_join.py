@@ -1,17 +1,20 @@
 """Near duplicates: a prefix-tree join of word n-gram sets by Jaccard similarity, exact at every size.
 
-Sets are brought into one global order (rarest n-gram first, ties by hash). Three packed exchanges,
-each a few binary arrays instead of one row per n-gram, find which sets can have a partner at all:
+Sets are brought into one global order (rarest n-gram first, ties by hash). Packed exchanges,
+each a few binary arrays instead of one row per n-gram, bring sets that can be similar to one place:
 
 1. n-grams that occur in one document only can't be shared. A document with fewer than
    `threshold * size` shared n-grams has no partner and goes no further.
 2. The sets left, copies collapsed, get the frequency of each n-gram among them and with it their order.
 3. Two sets as similar as `threshold` share an n-gram in their prefixes, and as many as the lengths
-   after the prefixes demand. Pairs that do are edges; a connected component of them is one trie.
+   after the prefixes demand. Sets that do are brought together; a group of many sets is cut into
+   blocks, and each pair of its blocks that can hold similar sets is a task of its own.
 
-In a component the ordered sets form a trie with merged single paths. One walk carries the overlap of
+There one block's ordered sets form a trie with merged single paths. One walk carries the overlap of
 each trie path with a block of queries, so sets share the work of their common beginning, and drops a
 query from a subtree once even its longest possible rest can't reach the overlap that the sizes demand.
+The walk finds the links. Each task hands on sums of links and one edge for each linked set, never a list of all
+pairs, so what is written grows with the documents and not with the square of a group.
 """
 
 from __future__ import annotations
@@ -20,26 +23,27 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, components, keyed, mix64, saved, slices, text_bytes
+from opalgrid.llm.common import buffers, components, keyed, mix64, saved, slices, text_bytes, trim
 from opalgrid.llm.words import ngrams, word_hashes
 
 NGRAM = 3
 THRESHOLD = 0.5
-#: n-grams and documents of one packed block, and bytes of text for each range of n-grams.
-BLOCK_NGRAMS, BLOCK_DOCS, RANGE_BYTES = 1_000_000, 60_000, 16 << 20
-PREFIX_RANGE = 6_000_000
-#: Queries that walk a trie together.
-QUERIES = 256
+#: n-grams and documents of one packed block (documents are numbered by 16 bits in it), documents of one
+#: step, and bytes of text for each range of n-grams.
+BLOCK_NGRAMS, BLOCK_DOCS, STEP_DOCS, RANGE_BYTES = 500_000, 40_000, 20_000, 12 << 20
+#: n-grams of the ranges that order sets and compare prefixes, and pairs that are summed up at once.
+SET_RANGE, PREFIX_RANGE, PAIRS_AT_ONCE = 1_000_000, 1_000_000, 400_000
+#: Sets of one block of a group, queries that walk a trie together, and cells of their table of n-grams.
+BLOCK_SETS, QUERIES, CELLS = 3_000, 256, 24_000_000
 _EPS = 1e-9
 
 BLOBS = "r int, block long, meta boolean, a binary, b binary, c binary"
-RESULT = "doc_a long, doc_b long, docs_a array<long>, docs_b array<long>, overlap long, size_a long, size_b long, jaccard double"
+LINKS = "rep long, root long, links long, best double"
 
 
 def _unique_sets(k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,29 +54,28 @@ def _unique_sets(k: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[m], d[m]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Document ids, sizes and concatenated ascending sets of blocks of documents; empty sets are left out."""
-    ids: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    sets: list[np.ndarray] = []
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row and document ids, sizes and concatenated ascending sets of blocks of documents; empty sets are left out.
+    A batch has the row's id, the document's id and the text."""
+    parts: list[tuple[np.ndarray, ...]] = []
     held = docs = 0
     for batch in batches:
-        raw, off = buffers(batch.column(1))
-        doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j in slices(off):
+        raw, off = buffers(batch.column(2))
+        rids, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j in slices(off, most_values=STEP_DOCS):
             h, d = word_hashes(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             k, d = _unique_sets(*ngrams(h, d, n))
             size = np.bincount(d, minlength=j - i)
             some = size > 0
-            ids.append(doc_ids[i:j][some])
-            sizes.append(size[some])
-            sets.append(k)
+            parts.append((rids[i:j][some], ids[i:j][some], size[some], k))
             held, docs = held + len(k), docs + int(some.sum())
-            if held >= BLOCK_NGRAMS or docs >= BLOCK_DOCS - 5000:
-                yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(sets)
-                ids, sizes, sets, held, docs = [], [], [], 0, 0
+            if held >= BLOCK_NGRAMS or docs >= BLOCK_DOCS:
+                yield tuple(map(np.concatenate, zip(*parts)))
+                parts, held, docs = [], 0, 0
     if held:
-        yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(sets)
+        yield tuple(map(np.concatenate, zip(*parts)))
+    parts.clear()
+    trim()
 
 
 def _set_keys(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,20 +117,29 @@ def _block_id(n: int) -> int:
     return (TaskContext.get().partitionId() << 24) + n
 
 
+_SCHEMA = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("meta", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+
+
 def _rows(schema_rows: list[tuple]) -> pa.RecordBatch:
-    r, block, meta, a, b, c = zip(*schema_rows)
-    return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(block, pa.int64()), pa.array(meta, pa.bool_()), *(pa.array(x, pa.binary()) for x in (a, b, c))], ["r", "block", "meta", "a", "b", "c"])
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*schema_rows), _SCHEMA)], schema=_SCHEMA)
+
+
+def _check(docs: int) -> None:
+    if docs >= 65535:
+        raise ValueError("a block has more documents than 16 bits can number")
 
 
 def _send_fingerprints(n: int, ranges: int, bits: int):  # noqa: ANN202
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, sizes, sets) in enumerate(_sets(batches, n)):
+        for number, (rids, ids, sizes, sets) in enumerate(_sets(batches, n)):
+            _check(len(ids))
             block = _block_id(number)
             k1, k2 = _set_keys(sets, sizes)
-            rows = [(block % ranges, block, True, ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), np.concatenate([k1, k2]).tobytes())]
+            rows = [(block % ranges, block, True, np.concatenate([rids, ids]).astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), np.concatenate([k1, k2]).tobytes())]
             owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
             # order by n-gram with the document in the low bits, so that a plain sort does it
-            both = np.sort((sets >> np.uint64(64 - bits)) << np.uint64(16) | owner)
+            both = (sets >> np.uint64(64 - bits)) << np.uint64(16) | owner
+            both.sort()
             values, docs = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype("<u2")
             cut = np.searchsorted(values, (np.arange(ranges + 1, dtype=object) * (1 << bits) // ranges).astype(np.uint64))
             for r in range(ranges):
@@ -140,19 +152,25 @@ def _send_fingerprints(n: int, ranges: int, bits: int):  # noqa: ANN202
 
 def _mark_shared(t: pa.Table) -> pa.Table:
     """For one range: how many n-grams of each document of each block occur in another document too."""
-    own = [x for x in t.to_pylist() if not x["meta"]]
-    rows = [(x["r"], x["block"], True, x["a"], x["b"], x["c"]) for x in t.to_pylist() if x["meta"]]
-    parts = [_ungap(x["a"], x["b"]) for x in own]
+    rows, blocks, parts = [], [], []
+    for r, block, meta, a, b, c in zip(*(t.column(x).to_pylist() for x in ("r", "block", "meta", "a", "b", "c"))):
+        if meta:
+            rows.append((r, block, True, a, b, c))
+        else:
+            blocks.append((r, block))
+            parts.append(_ungap(a, b))
     if parts:
-        values = np.concatenate([v for v, _ in parts])
-        order = np.sort(values)
-        again = np.unique(order[1:][order[1:] == order[:-1]])
-        for x, (v, d) in zip(own, parts):
+        order = np.concatenate([v for v, _ in parts])
+        order.sort()
+        again = order[1:][order[1:] == order[:-1]]
+        del order
+        again = again[np.diff(again, prepend=np.uint64((1 << 64) - 1)) != 0]
+        for (r, block), (v, d) in zip(blocks, parts):
             if len(again):
                 at = np.minimum(np.searchsorted(again, v), len(again) - 1)
                 counts = np.bincount(d[again[at] == v])
-                rows.append((x["r"], x["block"], False, counts.astype("<u4").tobytes(), None, None))
-    return pa.Table.from_batches([_rows(rows)]) if rows else pa.table({"r": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "meta": pa.array([], pa.bool_()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "c": pa.array([], pa.binary())})
+                rows.append((r, block, False, counts.astype("<u4").tobytes(), None, None))
+    return pa.Table.from_batches([_rows(rows)] if rows else [], _SCHEMA)
 
 
 def _survivors(threshold: float):  # noqa: ANN202
@@ -161,27 +179,26 @@ def _survivors(threshold: float):  # noqa: ANN202
         parts = []
         for x in t.to_pylist():
             if x["meta"]:
-                ids, sizes = np.frombuffer(x["a"], "<i8"), np.frombuffer(x["b"], "<i8")
-                keys = np.frombuffer(x["c"], "<u8")
-                total = np.zeros(len(ids), np.int64)
+                both, sizes, keys = np.frombuffer(x["a"], "<i8"), np.frombuffer(x["b"], "<i8"), np.frombuffer(x["c"], "<i8")
+                total = np.zeros(len(sizes), np.int64)
             else:
                 parts.append(np.frombuffer(x["a"], "<u4"))
         if total is None:
             raise ValueError("a block came without its documents")
         for p in parts:
             total[: len(p)] += p
-        keep = total >= np.ceil(threshold * sizes - _EPS)
-        n = len(ids)
-        return pa.table({"doc_id": pa.array(ids[keep], pa.int64()), "size": pa.array(sizes[keep], pa.int64()), "k1": pa.array(keys[:n][keep].view("<i8"), pa.int64()), "k2": pa.array(keys[n:][keep].view("<i8"), pa.int64())})
+        keep, n = total >= np.ceil(threshold * sizes - _EPS), len(sizes)
+        return pa.table({"rid": both[:n][keep], "doc_id": both[n:][keep], "size": sizes[keep], "k1": keys[:n][keep], "k2": keys[n:][keep]})
 
     return block
 
 
 def _send_sets(n: int, ranges: int):  # noqa: ANN202
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, sizes, sets) in enumerate(_sets(batches, n)):
+        for number, (rids, _, sizes, sets) in enumerate(_sets(batches, n)):
+            _check(len(rids))
             block = _block_id(number)
-            rows = [(block % ranges, block, True, ids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), None)]
+            rows = [(block % ranges, block, True, rids.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), None)]
             owner = np.repeat(np.arange(len(sizes)), sizes).astype("<u2")
             o = np.argsort(sets, kind="stable")
             values, docs = sets[o], owner[o]
@@ -197,16 +214,19 @@ def _send_sets(n: int, ranges: int):  # noqa: ANN202
 
 def _count_sets(t: pa.Table) -> pa.Table:
     """For one range: the n-grams that two sets or more hold, with their number, back to each block."""
-    own = [x for x in t.to_pylist() if not x["meta"]]
-    rows = [(x["r"], x["block"], True, x["a"], x["b"], None) for x in t.to_pylist() if x["meta"]]
-    values = [np.frombuffer(x["a"], "<u8") for x in own]
-    if values:
-        u, c = np.unique(np.concatenate(values), return_counts=True)
-        for x, v in zip(own, values):
+    rows, own = [], []
+    for x in t.to_pylist():
+        if x["meta"]:
+            rows.append((x["r"], x["block"], True, x["a"], x["b"], None))
+        else:
+            own.append((x["r"], x["block"], np.frombuffer(x["a"], "<u8"), np.frombuffer(x["b"], "<u2")))
+    if own:
+        u, c = np.unique(np.concatenate([v for *_, v, _ in own]), return_counts=True)
+        for r, block, v, d in own:
             df = c[np.searchsorted(u, v)]
             m = df > 1
-            rows.append((x["r"], x["block"], False, v[m].tobytes(), np.frombuffer(x["b"], "<u2")[m].tobytes(), df[m].astype("<u4").tobytes()))
-    return pa.Table.from_batches([_rows(rows)])
+            rows.append((r, block, False, v[m].tobytes(), d[m].tobytes(), df[m].astype("<u4").tobytes()))
+    return pa.Table.from_batches([_rows(rows)] if rows else [], _SCHEMA)
 
 
 def _order_sets(t: pa.Table) -> pa.Table:
@@ -262,52 +282,44 @@ def _send_prefixes(ranges: int, threshold: float):  # noqa: ANN202
     return send
 
 
+_PAIRS = pa.schema([(x, pa.int64()) for x in ("a", "b", "sa", "sb", "n")])
+
+
 def _pairs_of_range(threshold: float):  # noqa: ANN202
-    def pairs(t: pa.Table) -> pa.Table:
-        """Pairs of sets that share n-grams of this range in their prefixes, and how many."""
-        rows = t.to_pylist()
-        v = np.concatenate([np.frombuffer(x["a"], "<u8") for x in rows])
-        i = np.concatenate([np.frombuffer(x["b"], "<i8") for x in rows])
-        s = np.concatenate([np.frombuffer(x["c"], "<u4") for x in rows]).astype(np.int64)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets that share n-grams of this range in their prefixes, and how many: sums over stretches of the range."""
+        v, i, s = ([], [], [])
+        for batch in batches:
+            for out, column, kind in zip((v, i, s), ("a", "b", "c"), ("<u8", "<i8", "<u4")):
+                out += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+        v, i, s = map(np.concatenate, (v, i, s))
         ids, first, i = np.unique(i, return_index=True, return_inverse=True)
-        size = s[first]
+        size = s[first].astype(np.int64)
         o = np.lexsort((i, v))
-        v, i, s = v[o], i[o].astype(np.int64), s[o]
+        v, i = v[o], i[o].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         group = np.diff(np.append(start, len(v)))
-        later = np.repeat(start + group, group) - np.arange(len(v)) - 1  # partners after each entry in its group
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        del o, v
+        later = np.repeat(start + group, group) - np.arange(len(i)) - 1  # partners after each entry in its group
         done = np.cumsum(later)
         at = 0
-        while at < len(v):
-            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 1_000_000, side="right")))
+        while at < len(i):
+            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
             rep = later[at:stop]
-            if n := int(rep.sum()):
+            if m := int(rep.sum()):
                 left = np.repeat(np.arange(at, stop), rep)
-                right = left + 1 + np.arange(n) - np.repeat(np.cumsum(rep) - rep, rep)
-                a, b = s[left], s[right]
-                m = np.minimum(a, b) >= threshold * np.maximum(a, b) - _EPS
-                k, c = np.unique(i[left[m]] << 32 | i[right[m]], return_counts=True)
-                keys, counts = np.concatenate([keys, k]), np.concatenate([counts, c])
-                if len(keys) > 4_000_000:
-                    keys, counts = _sum_by(keys, counts)
+                a, b = i[left], i[left + 1 + np.arange(m) - np.repeat(np.cumsum(rep) - rep, rep)]
+                near = (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - _EPS) & (a != b)
+                k, c = np.unique(a[near] << 32 | b[near], return_counts=True)
+                a, b = k >> 32, k & 0xFFFFFFFF
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], c.astype(np.int64))], schema=_PAIRS)
             at = stop
-        keys, counts = _sum_by(keys, counts)
-        a, b = keys >> 32, keys & 0xFFFFFFFF
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "sa": pa.array(size[a], pa.int64()), "sb": pa.array(size[b], pa.int64()), "n": pa.array(counts, pa.int64())})
+        trim()
 
     return pairs
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    o = np.argsort(keys, kind="stable")
-    keys, counts = keys[o], counts[o]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
-
-
 class _Node:
     """A path of the trie without branches: its n-grams, the sets that end at its end, its children, and
     bounds over all sets below: least size and the most n-grams that still follow."""
@@ -348,18 +360,15 @@ def build_trie(sets: list[np.ndarray], sizes: np.ndarray) -> _Node:
     return root
 
 
-def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(i, j, overlap), i < j, of all sets whose Jaccard similarity reaches threshold."""
-    if not sets:
-        return
-    root, width = build_trie(sets, sizes), int(max(x[-1] for x in sets)) + 1
-    for at in range(0, len(sets), QUERIES):
-        ids = np.arange(at, min(at + QUERIES, len(sets)))
+def walk(root: _Node, sizes: np.ndarray, width: int, queries: list[np.ndarray], q_sizes: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(set of the trie, queries, overlaps) of all queries whose Jaccard similarity with the set reaches threshold."""
+    share, together = threshold / (1 + threshold), max(8, min(QUERIES, CELLS // max(width, 1)))
+    for at in range(0, len(queries), together):
+        ids = np.arange(at, min(at + together, len(queries)))
         has = np.zeros((width, len(ids)), bool)
         for c, k in enumerate(ids):
-            has[sets[k], c] = True
-        share = threshold / (1 + threshold)
-        stack = [(root, np.arange(len(ids)), np.zeros(len(ids), np.int64), np.array([len(sets[k]) for k in ids]))]
+            has[queries[k], c] = True
+        stack = [(root, np.arange(len(ids)), np.zeros(len(ids), np.int64), np.array([len(queries[k]) for k in ids]))]
         while stack:
             node, live, overlap, left = stack.pop()
             if len(node.grams):
@@ -368,11 +377,11 @@ def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, threshold: float) -> I
                 else:
                     inside = has[node.grams].sum(axis=0)[live]
                 overlap, left = overlap + inside, left - inside
-            size = sizes[ids[live]]
+            size = q_sizes[ids[live]]
             for k in node.ends:
-                need = share * (size + sizes[k]) - _EPS
-                for c in np.flatnonzero((overlap >= need) & (ids[live] < k)):
-                    yield int(ids[live[c]]), k, int(overlap[c])
+                hit = overlap >= share * (size + sizes[k]) - _EPS
+                if hit.any():
+                    yield k, ids[live[hit]], overlap[hit]
             for kid in node.kids:
                 # what this subtree can still add: no more than its longest rest or the query's own
                 most = overlap + np.minimum(left, len(kid.grams) + kid.rest)
@@ -381,79 +390,125 @@ def trie_pairs(sets: list[np.ndarray], sizes: np.ndarray, threshold: float) -> I
                     stack.append((kid, live[m], overlap[m], left[m]))
 
 
-def _join_component(threshold: float):  # noqa: ANN202
+def _ranked(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int]:
+    """Reps, sets as ascending ranks of the global order, sizes, documents of each set, its side, and the number of ranks."""
+    t = t.sort_by([("rep", "ascending"), ("side", "ascending")])
+    rep, side = t.column("rep").to_numpy(), t.column("side").to_numpy()
+    own = np.flatnonzero(np.concatenate([[True], (rep[1:] != rep[:-1]) | (side[1:] != side[:-1])])) if len(rep) else np.empty(0, int)
+    t = t.take(own)
+    grams, df = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("grams", "<u8"), ("df", "<u4")))
+    u, first, flat = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+    rank = np.empty(len(u), np.int64)
+    rank[np.lexsort((u, np.concatenate(df)[first]))] = np.arange(len(u))
+    sets = np.split(rank[flat], np.cumsum([len(g) for g in grams])[:-1])
+    return rep[own], sets, t.column("size").to_numpy(), t.column("n").to_numpy(), side[own], len(u)
+
+
+def _join_blocks(threshold: float):  # noqa: ANN202
     def join(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda x: x["rep"])
-        grams, df = [np.frombuffer(x["grams"], "<u8") for x in rows], [np.frombuffer(x["df"], "<u4") for x in rows]
-        u, first = np.unique(np.concatenate(grams), return_index=True)
-        rank = np.empty(len(u), np.int64)
-        rank[np.lexsort((u, np.concatenate(df)[first]))] = np.arange(len(u))
-        sets = [rank[np.searchsorted(u, g)] for g in grams]
-        sizes = np.array([x["size"] for x in rows], np.int64)
-        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        for i, j, n in trie_pairs(sets, sizes, threshold):
-            if rows[i]["rep"] != rows[j]["rep"]:
-                new = (n / float(sizes[i] + sizes[j] - n), n, i, j)
-                best[rows[i]["rep"], rows[j]["rep"]] = max(best.get((rows[i]["rep"], rows[j]["rep"]), new), new)
-        docs = {x["rep"]: x["docs"] for x in rows}
-        found = [(a, b, docs[a], docs[b], n, int(sizes[i]), int(sizes[j]), similarity) for (a, b), (similarity, n, i, j) in best.items()]
-        cols = list(zip(*found)) if found else [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *(pa.int64(),) * 3, pa.float64())
-        return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(RESULT.split(", "), cols, kinds)})
+        """Links between the sets of side 0 and those of side 1, or, where there is one side only, among them."""
+        rep, sets, sizes, n, side, width = _ranked(t)
+        mine, theirs = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        alone = side.min() == side.max()
+        root = build_trie([sets[k] for k in theirs], sizes[theirs])
+        links, best, label = np.zeros(len(rep), np.int64), np.zeros(len(rep)), np.arange(len(rep))
+        for k, hits, overlap in walk(root, sizes[theirs], width, [sets[k] for k in mine], sizes[mine], threshold):
+            a, b = theirs[k], mine[hits]
+            if alone:  # the walk meets each pair from both ends
+                overlap, b = overlap[b != a], b[b != a]
+                if not len(b):
+                    continue
+            similarity = overlap / (sizes[a] + sizes[b] - overlap)
+            links[a] += n[b].sum()
+            best[a] = max(best[a], similarity.max())
+            if not alone:
+                links[b] += n[a]
+                best[b] = np.maximum(best[b], similarity)
+            joined = np.unique(np.append(label[b], label[a]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+        some = links > 0
+        return pa.table({"rep": rep[some], "root": rep[label[some]], "links": links[some], "best": best[some]})
 
     return join
 
 
-def set_pairs(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different sets as ngram_join returns them, each set named by its smallest doc_id, and groups
-    (rep, docs, size) of the documents that may be in pairs, by equal set."""
+def row_id() -> Column:
+    """Identity of a row's doc_id and text, nulls told apart from values."""
+    i, t = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(i.isNull(), F.coalesce(i, F.lit(0)), t)
+
+
+def members(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs that are in a class of two or more or that are repeated, each once: rid (row_id), doc_id, times (how often the
+    row is there), keep (the rid of the class's first row: smallest doc_id, null last, then smallest rid), class_id (its doc_id), class_size
+    (rows, repeated ones once), n_links, max_jaccard. A null doc_id is a document of its own."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold lies above 0 and not above 1")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    missing = F.lit(-(1 << 63))  # packed in place of a null doc_id
+    docs = docs.select(row_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), missing).alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_bytes(docs)
     ranges = max(4, math.ceil(size / RANGE_BYTES))
     bits = min(48, max(24, (size // 4 + 1).bit_length() + 8))  # a chance match of fingerprints: 1 in 256
     marks = docs.mapInArrow(_send_fingerprints(n, ranges, bits), BLOBS).groupBy("r").applyInArrow(_mark_shared, BLOBS)
-    alive = marks.groupBy("block").applyInArrow(_survivors(threshold), "doc_id long, size long, k1 long, k2 long")
-    groups = saved(alive.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_list("doc_id")).alias("docs"), F.first("size").alias("size")).select("rep", "docs", "size"), "groups")
-    chosen = keyed(docs, groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    alive = marks.groupBy("block").applyInArrow(_survivors(threshold), "rid long, doc_id long, size long, k1 long, k2 long")
+    alive = saved(alive.groupBy("rid", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.count(F.lit(1)).alias("times")), "alive")
+    i = F.col("doc_id")
+    first = F.min(F.struct((i == missing).alias("unnamed"), i.alias("id"), F.col("rid"))).alias("first")
+    groups = saved(alive.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), first, F.count(F.lit(1)).alias("n"), F.max("times").alias("again"), F.min("size").alias("size")), "groups")
+    chosen = keyed(docs, groups.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi")
     tokens = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(4, math.ceil(tokens / 1_000_000))
-    counted = chosen.sortWithinPartitions("doc_id").mapInArrow(_send_sets(n, ranges), BLOBS).groupBy("r").applyInArrow(_count_sets, BLOBS)
+    ranges = max(4, math.ceil(tokens / SET_RANGE))
+    counted = chosen.sortWithinPartitions("rid").mapInArrow(_send_sets(n, ranges), BLOBS).groupBy("r").applyInArrow(_count_sets, BLOBS)
     ordered = saved(counted.groupBy("block").applyInArrow(_order_sets, "rep long, size long, grams binary, df binary"), "ordered")
     ranges = max(4, math.ceil(tokens / PREFIX_RANGE))
     found = ordered.mapInArrow(_send_prefixes(ranges, threshold), BLOBS).groupBy("r").applyInArrow(_pairs_of_range(threshold), "a long, b long, sa long, sb long, n long")
     sums = found.groupBy("a", "b").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("n").alias("n"))
     rest = F.floor(F.lit(threshold) * F.greatest("sa", "sb") + 1)  # n-grams of a set after its prefix, at most
-    edges = saved(sums.filter(F.col("n") + rest >= F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - _EPS).select("a", "b"), "edges")
-    lists = groups.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"))
-    inside = ordered.join(components(edges).withColumnRenamed("node", "rep"), "rep").join(lists, "rep")
-    return inside.groupBy("comp").applyInArrow(_join_component(threshold), RESULT), groups
+    near = saved(sums.filter(F.col("n") + rest >= F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - _EPS).select("a", "b"), "near")
+    # sets that can be similar come together: small groups whole, others by pairs of blocks that such sets lie in
+    together = components(near)
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS))
+    placed = saved(together.join(together.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")), "comp").select(F.col("node").alias("rep"), "comp", F.pmod(F.xxhash64(F.lit(13), "node"), blocks).cast("int").alias("block"), (blocks > 1).alias("many")), "placed")
+    end = lambda x: placed.filter("many").select(F.col("rep").alias(x), F.col("comp").alias("comp" + x), F.col("block").alias("block" + x))
+    tasks = near.join(end("a"), "a").join(end("b"), "b").select(F.col("compa").alias("comp"), F.least("blocka", "blockb").alias("i"), F.greatest("blocka", "blockb").alias("j")).distinct()
+    sides = tasks.select("comp", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).unionByName(tasks.filter("i != j").select("comp", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
+    spread = placed.filter("many").join(sides, ["comp", "block"]).select("rep", "comp", "i", "j", "side").unionByName(placed.filter("not many").select("rep", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    inside = ordered.join(groups.select("rep", "n"), "rep").join(spread, "rep")
+    links = saved(inside.groupBy("comp", "i", "j").applyInArrow(_join_blocks(threshold), LINKS), "links")
+    # classes of sets, then of documents
+    classes = components(links.select("rep", "root"), "rep", "root")
+    stats = links.groupBy("rep").agg(F.sum("links").alias("links"), F.max("best").alias("best")).join(classes.withColumnRenamed("node", "rep"), "rep")
+    sets = groups.join(stats, "rep", "left").filter("n > 1 or links > 0 or again > 1").withColumn("comp", F.coalesce("comp", "rep"))
+    heads = sets.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n").alias("class_size"))
+    sets = sets.join(heads, "comp").select("k1", "k2", F.col("head.rid").alias("keep"), F.when(~F.col("head.unnamed"), F.col("head.id")).alias("class_id"), "class_size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("n") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("max_jaccard"))
+    return alive.join(saved(sets, "classes"), ["k1", "k2"]).select("rid", F.when(i != missing, i).alias("doc_id"), "times", "keep", "class_id", "class_size", "n_links", "max_jaccard")
 
 
 def ngram_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of documents whose sets of word n-grams have a Jaccard similarity of `threshold` or more.
+    """One row for each document whose set of word n-grams has a Jaccard similarity of `threshold` or more with that
+    of another one: doc_id, class_id, class_size, n_links, max_jaccard.
 
-    A row joins two sets: `docs_a` and `docs_b` list all documents that have them (ascending), doc_a and
-    doc_b are the smallest of each; documents with one and the same set are one row with the same list
-    on both sides and jaccard 1. So thousands of copies are one row, and no partner is left out.
+    n_links is the number of such other documents, copies included; documents joined by links in any number of
+    steps are a class, class_id is the smallest doc_id of it; max_jaccard is the largest similarity.
 
     Words are lower-cased runs of letters and digits. Null doc_id: not in the result. Null, empty or
     word-free text: an empty set, similar to nothing. Fewer than n words: one shorter n-gram. Repeated
-    rows with the same doc_id and text: one document, listed once; with another text: the pair's most
-    similar texts count. Columns other than doc_id and text
-    are ignored. An empty table gives an empty result. Similarity exactly `threshold` is in.
+    rows with the same doc_id and text are one document; with another text they are documents of their own. Columns other than
+    doc_id and text are ignored. An empty table gives an empty result. Similarity exactly `threshold` is in.
     """
-    pairs, groups = set_pairs(docs, n, threshold)
-    same = groups.select("rep", F.array_distinct("docs").alias("docs"), "size").filter(F.size("docs") > 1)
-    copies = same.select(F.col("rep").alias("doc_a"), F.col("rep").alias("doc_b"), F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.col("size").alias("overlap"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    return pairs.select(names).unionByName(copies.select(names))
-
-
-def duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id of every document that goes when of each group, joined by pairs in any number of steps, the smallest stays."""
-    pairs, groups = set_pairs(docs, n, threshold)
-    comps = components(saved(pairs.select("doc_a", "doc_b"), "pairs"), "doc_a", "doc_b").withColumnRenamed("node", "rep")
-    members = groups.join(comps, "rep", "left").select(F.coalesce("comp", "rep").alias("keep"), F.explode(F.array_distinct("docs")).alias("doc_id"))
-    return members.filter("doc_id != keep").select("doc_id").distinct()
+    return members(docs.filter("doc_id is not null"), n, threshold).filter("n_links > 0").select("doc_id", "class_id", "class_size", "n_links", "max_jaccard")
+
+
+def distinct(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, of which each class of near duplicates keeps one: that with the smallest
+    doc_id, null ids last. Of repeated rows one stays. Rows with a null, empty or word-free text are in no class and all stay.
+    An empty table gives an empty one."""
+    rid, at = "__opalgrid_rid", [F.col(f"`{c}`") for c in docs.columns]
+    found = saved(members(docs, n, threshold).select(F.col("rid").alias(rid), "times", "keep"), "members")
+    gone, again = found.filter(f"{rid} != keep or times > 1").select(rid), found.filter(f"{rid} = keep and times > 1").select(rid)
+    rows = docs.withColumn(rid, row_id())
+    kept = keyed(rows, gone, rid, "left_anti").select(at)
+    if again.isEmpty():
+        return kept
+    return kept.unionAll(keyed(rows, again, rid, "left_semi").dropDuplicates([rid]).select(at))

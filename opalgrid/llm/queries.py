@@ -43,7 +43,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    return nearest(table(spark, sf_dir, "embeddings"), every=100)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-Windows of template tokens of the benchmark are joined by hash with those of every document. Matches
-on one alignment (document position minus item position) make a run, and the words behind the
-placeholders of a run must map consistently: one value of the item always stands for the same value in
+Windows of template tokens of the benchmark are joined by hash with those of every document, in Spark. A filter of
+bounded size, made of the benchmark's hashes, keeps the windows of documents that can't match out of the join, so one pass over the
+documents does, however large the benchmark is. Matches on one alignment (document position minus item position) that
+follow each other without a gap are a stretch of equal template tokens, and the words behind its
+placeholders must map consistently: one value of the item always stands for the same value in
 the document. So a question with other numbers or names is caught, and a chance likeness isn't. Where they
 don't, only the inconsistent stretch is left out.
 
 A text is read in more than one way, each against the same reading of the items: a capitalised word that
 begins a sentence as a word, and as a name; and by the words, numbers and names as they are, so that verbatim
-copies match however few plain words they have.
+copies match however few plain words they have. What is found depends on a text alone, so copies are looked at once.
 """
 
 from __future__ import annotations
@@ -18,19 +20,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, mix64, slices
+from opalgrid.llm.common import BROADCAST_ROWS, buffers, mix64, saved, slices
 from opalgrid.llm.words import hashes, lower_bytes, spans
 
-#: Template tokens of a window, those that must be words and not placeholders, and the windows that an
-#: alignment needs: 6 windows of 8 are 13 tokens in a row.
-WINDOW, LITERALS, NEEDED = 8, 4, 6
+#: Template tokens of a window, and those that must be words and not placeholders.
+WINDOW, LITERALS = 8, 4
+#: Template tokens in a row that make a leak, and words among them; of an item with fewer, all.
+TOKENS, WORDS = 13, 6
 #: Fewest tokens of an item that can be looked for; it then has to match as a whole.
 SHORTEST = 5
-#: Tokens of the benchmark that are sent to every executor at once; a larger one is taken in parts of whole items.
-PART_TOKENS = 2_000_000
+#: log2 of the bits of the filter: 8 MB at most, whatever the benchmark's size.
+FILTER_BITS = 26
+#: Matched windows that one task aligns, about.
+ALIGN_ROWS = 100_000
 UNITS = (
     "mm cm dm m km mi mile miles inch inches ft foot feet yard yards mg g kg t ton tons tonne tonnes lb lbs oz ounce ounces ms s sec second seconds min minute minutes h hr hrs hour hours day days week weeks "
     "month months year years ml cl l liter liters litre litres gallon gallons usd eur gbp chf dollar dollars euro euros cent cents pound pounds percent pct degree degrees k c f n pa kpa j kj w kw v a hz khz mhz ghz kb mb gb tb kmh mph"
@@ -119,35 +124,67 @@ def windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(total[at]), at
 
 
-@dataclass
-class Index:
-    """Windows of benchmark items in one reading, by length: hashes in order and token position of each."""
+def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in the filter."""
+    low = np.uint64((1 << FILTER_BITS) - 1)
+    return h & low, h >> np.uint64(64 - FILTER_BITS)
+
+
+def _slots(t: Templates, at: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of each window: which tokens are placeholders, as bits, and the values behind them."""
+    where = at[:, None] + np.arange(n)
+    slot, value = t.slot[where], t.value[where].astype("<u4")
+    return (slot * (1 << np.arange(n))).sum(axis=1), [v[m].tobytes() for v, m in zip(value, slot)]
+
+
+_ITEM = "reading int, n int, hash long, item_id long, at int, mask int, theirs binary, tokens int, words int, windows int"
+_FOUND = "t1 long, t2 long, reading int, n int, hash long, pos int, ours binary"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
 
-    item_ids: np.ndarray
-    items: Templates
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
-    n_windows: np.ndarray
 
+def _batch(ddl: str, columns: list) -> pa.RecordBatch:
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
-def index(items: list[tuple[int, str]]) -> list[Index]:
-    """An index for each reading."""
-    items = [(i, t) for i, t in items if i is not None and t]
-    ids = np.array([i for i, _ in items], np.int64)
-    return [_index(ids, t) for t in readings(*buffers(pa.array([t for _, t in items], pa.string())))]
 
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of items in each reading. An item of fewer than WINDOW tokens is one window."""
+    for batch in batches:
+        ids, (raw, off) = batch.column(0).to_numpy(zero_copy_only=False), buffers(batch.column(1))
+        for a, b in slices(off):
+            for reading, t in enumerate(readings(raw[off[a] : off[b]], off[a : b + 1] - off[a])):
+                count, words = np.bincount(t.doc, minlength=b - a), np.bincount(t.doc, weights=~t.slot, minlength=b - a)
+                for n in sorted({min(WINDOW, int(c)) for c in count if c >= SHORTEST}):
+                    h, at = windows(t, n)
+                    own = np.minimum(count[t.doc[at]], WINDOW) == n
+                    h, at = h[own], at[own]
+                    item = t.doc[at]
+                    mask, theirs = _slots(t, at, n)
+                    first = np.concatenate([[0], np.cumsum(count)])[item]
+                    yield _batch(_ITEM, [np.full(len(h), reading), np.full(len(h), n), h.view(np.int64), ids[a + item], at - first, mask, theirs, count[item], words[item].astype(int), np.bincount(item, minlength=b - a)[item]])
 
-def _index(ids: np.ndarray, t: Templates) -> Index:
-    count = np.bincount(t.doc, minlength=len(ids)) if len(t.doc) else np.zeros(len(ids), np.int64)
-    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    n_windows = np.zeros(len(ids), np.int64)
-    for n in sorted({min(WINDOW, int(c)) for c in count if c >= SHORTEST}):
-        h, at = windows(t, n)
-        own = np.minimum(count[t.doc[at]], WINDOW) == n
-        h, at = h[own], at[own]
-        n_windows += np.bincount(t.doc[at], minlength=len(ids))
-        o = np.argsort(h, kind="stable")
-        by[n] = (h[o], at[o])
-    return Index(ids, t, by, n_windows)
+
+def _doc_windows(present: np.ndarray, lengths: list[int]):  # noqa: ANN202
+    """Windows of documents whose hash the filter doesn't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t1, t2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            raw, off = buffers(batch.column(2))
+            for a, b in slices(off):
+                for reading, t in enumerate(readings(raw[off[a] : off[b]], off[a : b + 1] - off[a])):
+                    for n in lengths:
+                        h, at = windows(t, n)
+                        for x in range(2):
+                            where = _probes(h)[x].astype(np.int64)
+                            m = (present[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1
+                            h, at = h[m], at[m]
+                        if len(h):
+                            d = a + t.doc[at]
+                            _, ours = _slots(t, at, n)
+                            yield _batch(_FOUND, [t1[d], t2[d], np.full(len(h), reading), np.full(len(h), n), h.view(np.int64), at - np.searchsorted(t.doc, t.doc[at]), ours])
+
+    return run
 
 
 def _consistent(hits: np.ndarray, n: int, at: np.ndarray, theirs: np.ndarray, ours: np.ndarray) -> np.ndarray:
@@ -174,109 +211,116 @@ def _consistent(hits: np.ndarray, n: int, at: np.ndarray, theirs: np.ndarray, ou
     return stretch if len(stretch) >= len(kept) else kept
 
 
-def _runs(ix: Index, t: Templates, n: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, windows, slots, changed slots) of each alignment with enough windows of consistent slots."""
-    h, at = windows(t, n)
-    keys, places = ix.by_length[n]
-    if not len(keys) or not len(h):
-        return
-    seen = np.zeros(1 << 16, bool)
-    seen[(keys >> np.uint64(48)).astype(np.int64)] = True
-    m = seen[(h >> np.uint64(48)).astype(np.int64)]
-    h, at = h[m], at[m]
-    lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-    n_hits = hi - lo
-    if not n_hits.any():
-        return
-    d = np.repeat(at, n_hits)
-    i = places[np.repeat(lo, n_hits) + np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits)]
-    item, doc, shift = ix.items.doc[i], t.doc[d], d - i
-    o = np.lexsort((d, shift, item, doc))
-    d, i, item, doc, shift = d[o], i[o], item[o], doc[o], shift[o]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])]))
-    size = np.diff(np.append(cut, len(d)))
-    need = np.minimum(NEEDED, ix.n_windows[item[cut]])
-    for c, k, least in zip(cut[size >= need], size[size >= need], need[size >= need]):
-
-        def slots(hits: np.ndarray, shift: int = shift[c]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            tokens = np.unique((hits[:, None] + np.arange(n)).ravel())
-            tokens = tokens[t.slot[tokens]]
-            return tokens, ix.items.value[tokens - shift], t.value[tokens]
-
-        hits = d[c : c + k]
-        found = slots(hits)
-        kept = _consistent(hits, n, *found) if len(found[0]) else hits
-        if len(kept) >= least:
-            _, theirs, ours = slots(kept) if len(kept) < k else found
-            yield int(doc[c]), int(item[c]), len(kept), len(ours), int((theirs != ours).sum())
-
-
-def _match(indexes: list[Index]):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, (raw, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
-            rows = []
-            for a, b in slices(off):
-                best: dict[tuple[int, int], tuple] = {}  # by the share of the item's windows, then the fewest changes, then the first reading
-                for number, (ix, t) in enumerate(zip(indexes, readings(raw[off[a] : off[b]], off[a : b + 1] - off[a]))):
-                    for n in ix.by_length:
-                        for doc, item, k, slots, changed in _runs(ix, t, n):
-                            total = int(ix.n_windows[item])
-                            x = (k / total, -changed, -number, k, slots, total)
-                            best[doc, item] = max(best.get((doc, item), x), x)
-                for (doc, item), (share, changed, _, k, slots, total) in sorted(best.items()):
-                    rows.append((ids[a + doc], int(indexes[0].item_ids[item]), k, total, round(share, 6), slots, -changed, "reparameterised" if changed else "verbatim"))
-            cols = list(zip(*rows)) if rows else [()] * 8
-            kinds = (*(pa.int64(),) * 4, pa.float64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in RESULT.split(", ")])
-
-    return run
-
-
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    part, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).distinct().orderBy("i", "t").toLocalIterator():
-        part.append((r.i, r.t))
-        size += len(r.t or "") // 5
-        if size > PART_TOKENS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _stretches(hits: np.ndarray, n: int) -> list[np.ndarray]:
+    """Window starts cut where a token lies between one window's end and the next one's start."""
+    return np.split(hits, np.flatnonzero(np.diff(hits) > n) + 1)
+
+
+def aligned(pos: np.ndarray, n: int, mask: np.ndarray, theirs: list[bytes], ours: list[bytes], tokens: int, words: int) -> tuple[int, int, int] | None:
+    """(windows, slots, changed slots) of the longest stretch of one alignment, given its windows in order, with
+    enough equal template tokens in a row and consistent slots; None if there is none."""
+    best = None
+    for hits in _stretches(np.arange(len(pos))[:0] if not len(pos) else pos, n):
+        if not len(hits) or hits[-1] + n - hits[0] < min(TOKENS, tokens):
+            continue
+        own = np.searchsorted(pos, hits)
+        value: dict[int, tuple[int, int]] = {}
+        for k in own:
+            places = [i for i in range(n) if mask[k] >> i & 1]
+            for i, x, y in zip(places, np.frombuffer(theirs[k], "<u4").tolist(), np.frombuffer(ours[k], "<u4").tolist()):
+                value[int(pos[k]) + i] = (x, y)
+        at = np.array(sorted(value), np.int64)
+        a, b = (np.array([value[i][side] for i in at.tolist()], np.int64) for side in (0, 1))
+        for kept in _stretches(_consistent(hits, n, at, a, b) if len(at) else hits, n):
+            if not len(kept):
+                continue
+            low, high = np.searchsorted(at, (kept[0], kept[-1] + n))
+            length = int(kept[-1] + n - kept[0])
+            # windows that were left out may lie inside: what they alone hold doesn't count as consistent
+            if length >= min(TOKENS, tokens) and length - (high - low) >= min(WORDS, words):
+                found = (len(kept), int(high - low), int((a[low:high] != b[low:high]).sum()))
+                best = max(best or found, found, key=lambda x: (x[0], -x[2]))
+    return best
+
+
+def _align(t: pa.Table) -> pa.Table:
+    """The best match of each text and item over alignments and readings: by the share of the item's windows, then the
+    fewest changes, then the first reading."""
+    c = {x: t.column(x).to_numpy(zero_copy_only=False) for x in ("t1", "t2", "item_id", "reading", "n", "pos", "at", "mask", "tokens", "words", "windows")}
+    shift = c["pos"] - c["at"]
+    keys = (c["t1"], c["t2"], c["item_id"], c["reading"], c["n"], shift)
+    o = np.lexsort((c["pos"], *keys[::-1]))
+    theirs, ours = t.column("theirs").to_pylist(), t.column("ours").to_pylist()
+    cut = np.flatnonzero(np.concatenate([[True], np.any([k[o][1:] != k[o][:-1] for k in keys], axis=0)])) if len(o) else []
+    best: dict[tuple[int, int, int], tuple] = {}
+    for a, b in zip(cut, [*cut[1:], len(o)]):
+        rows = o[a:b]
+        rows = rows[np.concatenate([[True], c["pos"][rows][1:] != c["pos"][rows][:-1]])]
+        i = rows[0]
+        found = aligned(c["pos"][rows].astype(np.int64), int(c["n"][i]), c["mask"][rows], [theirs[k] for k in rows], [ours[k] for k in rows], int(c["tokens"][i]), int(c["words"][i]))
+        if found:
+            k, slots, changed = found
+            total, key = int(c["windows"][i]), (int(c["t1"][i]), int(c["t2"][i]), int(c["item_id"][i]))
+            x = (k / total, -changed, -int(c["reading"][i]), k, slots, total)
+            best[key] = max(best.get(key, x), x)
+    rows = [(*key, k, total, round(min(share, 1.0), 6), slots, -changed, "reparameterised" if changed else "verbatim") for key, (share, changed, _, k, slots, total) in sorted(best.items())]
+    return pa.Table.from_batches([_batch(f"t1 long, t2 long, {RESULT.removeprefix('doc_id long, ')}", list(zip(*rows)) if rows else [[]] * 9)])
+
+
+def _keys() -> tuple[Column, Column]:
+    """128 bits that identify a text."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text), F.xxhash64(F.lit(77), text)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """t1, t2 (the text's identity, `_keys`) and the columns of RESULT after doc_id, for each text and item that match."""
+    schema = f"t1 long, t2 long, {RESULT.removeprefix('doc_id long, ')}"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and length(text) > 0").distinct()
+    items = saved(items.mapInArrow(_item_windows, _ITEM), "items")
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # from SHORTEST to WINDOW
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], schema)
+    low = F.lit((1 << FILTER_BITS) - 1)
+    bit = F.explode(F.array(F.col("hash").bitwiseAND(low), F.shiftrightunsigned("hash", 64 - FILTER_BITS)))
+    present = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    spread = items.select(bit.alias("bit")).select((F.col("bit") / 32768).cast("long").alias("k"), (F.col("bit") % 32768).alias("at"))
+    for r in spread.groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():  # 8 MB in all, at most
+        present[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    t1, t2 = _keys()
+    found = docs.select(t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(_doc_windows(present, lengths), _FOUND)
+    on = ["reading", "n", "hash"]
+    small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = found.join(F.broadcast(items) if small else items, on).groupBy("t1", "t2", "item_id", *on[:2], "pos", "at").agg(*(F.first(c).alias(c) for c in ("mask", "tokens", "words", "windows", "theirs", "ours")))
+    joined = saved(joined, "matched")
+    parts = max(1, joined.count() // ALIGN_ROWS)
+    return joined.withColumn("part", F.pmod(F.col("t1"), F.lit(parts))).groupBy("part").applyInArrow(_align, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of every document that holds a benchmark item or a part of it of 13 template
+    """(doc_id, item_id) of every document that holds a benchmark item or a part of it of TOKENS template
     tokens in a row (a shorter item: all of it), as it is or with other numbers, names or units, each value
     always for the same one.
 
-    With the windows on the best alignment, their share of the item's, the placeholders in them (none where it is
+    With the windows of the longest such stretch, their share of the item's, the placeholders in it (none where it is
     found by its literal values), how many have another value, and the kind. Null or empty texts and items match nothing; null item_ids are
-    left out; null doc_ids stay null; items of fewer than 5 tokens can't be told from chance and are left
-    out; repeated rows give repeated matches; other columns are ignored; empty tables give an empty result.
+    left out; null doc_ids stay null; items of fewer than SHORTEST tokens can't be told from chance and are left
+    out; an item_id with several texts stands for each of them, and the best match counts; an item that
+    matches in two places or readings is one row, that of the larger share, then of fewer changes; repeated rows give repeated
+    matches; other columns are ignored; empty tables give an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.sparkSession.createDataFrame([], RESULT)
-    parts = [docs.mapInArrow(_match(ix), RESULT) for ix in map(index, _parts(benchmark)) if any(x.by_length for x in ix)]
-    for k, p in enumerate(parts):
-        found = p if k == 0 else found.unionByName(p)
-    return found
+    t1, t2 = _keys()
+    found = saved(matches(docs, benchmark), "leaks")
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"))
+    return rows.join(F.broadcast(found) if few else found, ["t1", "t2"]).drop("t1", "t2")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item leaks, with all their columns, in one pass for each part of the benchmark."""
-    for part in _parts(benchmark):
-        ix = index(part)
-        if any(x.by_length for x in ix):
-            match, at = _match(ix), docs.columns.index("text")
-
-            def keep(batches: Iterator[pa.RecordBatch], match=match, at=at) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-                for batch in batches:
-                    ids = pa.array(np.arange(batch.num_rows))
-                    (found,) = match(iter([pa.RecordBatch.from_arrays([ids, batch.column(at)], ["doc_id", "text"])]))
-                    good = np.ones(batch.num_rows, bool)
-                    good[found.column("doc_id").to_numpy()] = False
-                    yield batch.filter(pa.array(good))
-
-            docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    """The rows of docs in which no item leaks, with all their columns. Null and empty texts stay; so do rows with a null doc_id
+    whose text holds no item; repeated rows stay or go together; an empty benchmark leaves all."""
+    names = ["__opalgrid_t1", "__opalgrid_t2"]
+    gone = saved(matches(docs, benchmark).select("t1", "t2").distinct(), "leaks").toDF(*names)
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.withColumns(dict(zip(names, _keys())))
+    return rows.join(F.broadcast(gone) if few else gone, names, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])

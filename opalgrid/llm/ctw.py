@@ -2,10 +2,13 @@
 
 A byte is eight binary decisions; each of the 255 nodes of the byte's binary tree has a context tree over
 the bytes before. A node's weighted probability is half the Krichevsky-Trofimov (KT) estimate of
-its own counts and half the product of its children's, so that every depth up to DEPTH takes part. A
-byte's probability mixes the KT estimates along its context's path by the weights that this leaves each depth.
+its own counts and half the product of its children's, so that every depth up to DEPTH takes part.
 
-Counts are of all text. Documents are dealt to chunks; a chunk sends its sorted (context, byte) keys with
+Counts are of all text, but a byte never helps to predict itself: its probability is that of the corpus with it, divided by that of
+the corpus without it, which changes counts along one path only. So a code length is what the byte costs once all other bytes of the corpus are
+known, and a passage that occurs elsewhere costs less than one that doesn't.
+
+Documents are dealt to chunks; a chunk sends its sorted (context, byte) keys with
 counts to ranges of contexts, in packed arrays. A range holds all of the subtree below two context bytes, so it
 weights depths 2 and more by itself, and hands up sums for depths 1 and 0, of which there are 257 contexts at most. Then each range
 returns to each chunk the code lengths of the keys that the chunk sent, and the chunk adds them up over
@@ -22,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, mix64, saved, slices, text_bytes
+from opalgrid.llm.common import buffers, mix64, saved, slices, text_bytes, trim
 
-DEPTH = 4
-CHUNK_BYTES, RANGE_BYTES = 32 << 20, 32 << 20
+#: Bytes of context, 7 at most: with the byte itself they are a 64-bit key.
+DEPTH = 6
+#: Bytes of text of a chunk, and for each range of contexts.
+CHUNK_BYTES, RANGE_BYTES = 24 << 20, 12 << 20
 RESULT = "doc_id long, n_bytes long, bits double, bits_per_byte double"
-BLOBS = "r int, chunk long, keys binary, counts binary"
+BLOBS = "r int, chunk long, keys binary, bits binary"
+#: Code lengths travel as 16-bit multiples of this part of a bit.
+_PART = 1024
 _HALF = math.log(0.5)
 
 
@@ -54,6 +61,33 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[at], np.add.reduceat(c, at) if len(k) else c
 
 
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys as gaps, and counts, each in as few bytes as it needs."""
+    gaps, counts = np.diff(keys, prepend=np.uint64(0)), counts.astype("<u8")
+    size = [np.ones(len(keys), np.uint8), np.ones(len(keys), np.uint8)]
+    for n, v in zip(size, (gaps, counts)):
+        for i in range(1, 8):
+            more = v >= np.uint64(1 << 8 * i)
+            if not more.any():
+                break
+            n += more
+    out = [np.array([len(keys)], "<u8").tobytes(), (size[0] | size[1] << 4).tobytes()]
+    out += [v.astype("<u8").view(np.uint8).reshape(-1, 8)[np.arange(8) < n[:, None]].tobytes() for n, v in zip(size, (gaps, counts))]
+    return b"".join(out)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    sizes, at, out = np.frombuffer(blob, np.uint8, n, 8), 8 + n, []
+    for size in (sizes & 15, sizes >> 4):
+        total = int(size.sum(dtype=np.int64))
+        wide = np.zeros((n, 8), np.uint8)
+        wide[np.arange(8) < size[:, None]] = np.frombuffer(blob, np.uint8, total, at)
+        out.append(wide.view("<u8").ravel())
+        at += total
+    return np.cumsum(out[0], dtype=np.uint64), out[1].astype(np.int64)
+
+
 def count_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, off = buffers(texts)
     keys, counts, held = [], [], 0
@@ -63,7 +97,7 @@ def count_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         keys.append(x[at])
         counts.append(np.diff(np.append(at, len(x))))
         held += len(at)
-        if held > 3_000_000:
+        if held > 1_500_000:
             k, c = _merge(keys, counts)
             keys, counts, held = [k], [c], len(k) // 2
     return _merge(keys, counts)
@@ -143,21 +177,22 @@ def subtree(keys: np.ndarray, counts: np.ndarray, top: int) -> list[Level]:
     return levels
 
 
-def path_probabilities(levels: list[Level], keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each bit j of each key of full depth: the node's id at the top level, and the mixed probability
-    of the key's own bit over these levels."""
+def path_ratios(levels: list[Level], keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each bit j of each key of full depth: at the top level, the weighted probability without one of the key's own
+    occurrences, divided by that with it.
+
+    At the deepest node it is 1 / e with e = (n - 1/2) / all, the KT probability of the last of n equal bits among all. Above, the
+    node's own share of its probability changes by 1 / e and the rest by its child's ratio."""
     for j in range(8):
         bit = ((keys >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-        node = keys >> np.uint64(8 - j)
-        p = None
+        node, ratio = keys >> np.uint64(8 - j), None
         for level in reversed(levels):
             at = np.searchsorted(level.ids[j], node)
-            one = (level.ones[j] + 0.5) / (level.ones[j] + level.zeros[j] + 1.0)
-            own = np.where(bit, one[at], 1 - one[at])
-            stop = np.exp(level.stop[j])[at]
-            p = own if p is None else stop * own + (1 - stop) * p
-            top, node = node, Level._up(node, j)
-        yield j, top, p
+            zeros, ones, stop = level.zeros[j][at], level.ones[j][at], np.exp(level.stop[j])[at]
+            own = (zeros + ones) / (np.where(bit, ones, zeros) - 0.5)
+            ratio = own if ratio is None else stop * own + (1 - stop) * ratio
+            node = Level._up(node, j)
+        yield j, ratio
 
 
 def _send(ranges: int):  # noqa: ANN202
@@ -167,8 +202,9 @@ def _send(ranges: int):  # noqa: ANN202
         o = np.argsort(part, kind="stable")
         keys, counts = keys[o], counts[o]
         cut = np.searchsorted(part[o], np.arange(ranges + 1))
-        rows = [(r, keys[cut[r] : cut[r + 1]].tobytes(), counts[cut[r] : cut[r + 1]].astype("<u4").tobytes()) for r in range(ranges) if cut[r] < cut[r + 1]]
-        return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "keys": pa.array([x[1] for x in rows], pa.binary()), "counts": pa.array([x[2] for x in rows], pa.binary())})
+        rows = [(r, pack(keys[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]])) for r in range(ranges) if cut[r] < cut[r + 1]]
+        trim()
+        return pa.table({"r": pa.array([x[0] for x in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "keys": pa.array([x[1] for x in rows], pa.binary()), "bits": pa.array([None] * len(rows), pa.binary())})
 
     return run
 
@@ -178,16 +214,24 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (mix64(keys >> np.uint64(8 * (DEPTH - 1))) % np.uint64(ranges)).astype(np.int64)
 
 
-def _read(t: pa.Table) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
-    chunk = t.column("chunk").to_pylist()
-    return chunk, [np.frombuffer(x.as_py(), "<u8") for x in t.column("keys")], [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in t.column("counts")]
+def _read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all chunks of a range with their counts, a few chunks merged at a time."""
+    keys, counts, held = [], [], 0
+    for x in t.column("keys"):
+        k, c = unpack(x.as_py())
+        keys.append(k)
+        counts.append(c)
+        held += len(k)
+        if held > 2_000_000:
+            k, c = _merge(keys, counts)
+            keys, counts, held = [k], [c], len(k) // 2
+    return _merge(keys, counts)
 
 
 def _hand_up(t: pa.Table) -> pa.Table:
     """Of a range: for each node under each single context byte, its counts and the sum of the log
     weighted probabilities of its children at depth 2."""
-    _, keys, counts = _read(t)
-    two = subtree(*_merge(keys, counts), 2)[0]
+    two = subtree(*_read(t), 2)[0]
     out = {"j": [], "id": [], "zeros": [], "ones": [], "below": []}
     for j in range(8):
         up = Level._up(two.ids[j], j)
@@ -202,23 +246,19 @@ def _hand_up(t: pa.Table) -> pa.Table:
 
 def crown(rows: list[tuple[int, int, int, int, float]]) -> np.ndarray:
     """Depths 1 and 0 from (bit, node under a context byte, zeros, ones, sum below): for each node under a
-    context byte, (stop here, KT probability of a one) at depths 0 and 1, as an array [byte, node, 4]."""
-    top = np.full((256, 256, 4), np.nan)
-    zero = np.zeros((256, 2), np.int64)
-    below = np.zeros(256)
-    one = {}
+    context byte, (weight of stopping here, zeros, ones) at depth 0 and at depth 1, as an array [byte, node, 6]."""
+    top = np.full((256, 256, 6), np.nan)
+    counts, below = np.zeros((256, 2)), np.zeros(256)
     for j, i, z, o, b in rows:
         byte, node = i >> j, (1 << j) | (i & ((1 << j) - 1))
         kt = float(log_kt(np.array([z]), np.array([o]))[0])
         w = _HALF + np.logaddexp(kt, b)
-        one[byte, node] = (math.exp(_HALF + kt - w), (o + 0.5) / (z + o + 1.0))
-        zero[node] += (z, o)
+        top[byte, node, 3:] = math.exp(_HALF + kt - w), z, o
+        counts[node] += (z, o)
         below[node] += w
-    kt = log_kt(zero[:, 0], zero[:, 1])
-    weighted = _HALF + np.logaddexp(kt, below)
-    stop, p = np.exp(_HALF + kt - weighted), (zero[:, 1] + 0.5) / (zero.sum(axis=1) + 1.0)
-    for (byte, node), (s, q) in one.items():
-        top[byte, node] = stop[node], p[node], s, q
+    kt = log_kt(counts[:, 0].astype(np.int64), counts[:, 1].astype(np.int64))
+    top[:, :, 0] = np.exp(_HALF + kt - (_HALF + np.logaddexp(kt, below)))
+    top[:, :, 1:3] = counts
     return top
 
 
@@ -227,44 +267,52 @@ def code_lengths(levels: list[Level], keys: np.ndarray, top: np.ndarray) -> np.n
     bits = np.zeros(len(keys))
     first = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
     byte = (keys & np.uint64(255)).astype(np.int64)
-    for j, _, p in path_probabilities(levels, keys):
+    for j, ratio in path_ratios(levels, keys):
         x = top[first, (1 << j) | (byte >> (8 - j))]
-        bit = (byte >> (7 - j)) & 1 == 1
-        zero, one = np.where(bit, x[:, 1], 1 - x[:, 1]), np.where(bit, x[:, 3], 1 - x[:, 3])
-        bits -= np.log2(x[:, 0] * zero + (1 - x[:, 0]) * (x[:, 2] * one + (1 - x[:, 2]) * p))
+        bit = ((byte >> (7 - j)) & 1).astype(bool)
+        for stop, zeros, ones in (x[:, 3:].T, x[:, :3].T):
+            ratio = stop * (zeros + ones) / (np.where(bit, ones, zeros) - 0.5) + (1 - stop) * ratio
+        bits += np.log2(ratio)
     return bits
 
 
 def _lengths(top: np.ndarray):  # noqa: ANN202
     def run(t: pa.Table) -> pa.Table:
-        chunk, keys, counts = _read(t)
-        all_keys, all_counts = _merge(keys, counts)
-        bits = code_lengths(subtree(all_keys, all_counts, 2), all_keys, top).astype("<f4")
-        return pa.table({"r": t.column("r"), "chunk": t.column("chunk"), "keys": t.column("keys"), "counts": pa.array([bits[np.searchsorted(all_keys, k)].tobytes() for k in keys], pa.binary())})
+        keys, counts = _read(t)
+        bits = np.rint(np.concatenate([code_lengths(subtree(keys, counts, 2), keys, top)]) * _PART).clip(0, 65535).astype("<u2")
+        back = [bits[np.searchsorted(keys, unpack(x.as_py())[0])].tobytes() for x in t.column("keys")]
+        del keys, counts, bits
+        trim()
+        return pa.table({"r": t.column("r"), "chunk": t.column("chunk"), "keys": t.column("keys"), "bits": pa.array(back, pa.binary())})
 
     return run
 
 
 def _score(docs: pa.Table, lengths: pa.Table) -> pa.Table:
-    k, b = lengths.column("keys"), lengths.column("counts")
-    keys = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(x.as_py(), "<u8") for x in k)])
-    bits = np.concatenate([np.empty(0, "<f4"), *(np.frombuffer(x.as_py(), "<f4") for x in b)])
-    o = np.argsort(keys, kind="stable")
+    keys = np.concatenate([np.empty(0, "<u8"), *(unpack(x.as_py())[0] for x in lengths.column("keys"))])
+    bits = np.concatenate([np.empty(0, "<u2"), *(np.frombuffer(x.as_py(), "<u2") for x in lengths.column("bits"))])
+    del lengths
+    o = np.argsort(keys)
     keys, bits = keys[o], bits[o]
+    del o
     texts = docs.column("text").combine_chunks()
     raw, off = buffers(texts)
     total = np.zeros(len(off) - 1)
     for i, j in slices(off):
         if off[i] < off[j]:
             local = off[i : j + 1] - off[i]
-            each = bits[np.searchsorted(keys, keys_of(raw[off[i] : off[j]], local))].astype(np.float64)
-            total[i:j] = np.diff(np.concatenate([[0.0], np.cumsum(each)])[local])
+            wanted = keys_of(raw[off[i] : off[j]], local)
+            o = np.argsort(wanted)
+            each = np.empty(len(wanted), np.int64)
+            each[o] = bits[np.searchsorted(keys, wanted[o])]
+            total[i:j] = np.diff(np.concatenate([[0], np.cumsum(each)])[local]) / _PART
     n = np.diff(off)
+    trim()
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(n), "bits": pa.array(total), "bits_per_byte": pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)})
 
 
 def lm_score(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: bytes, code length in bits under the model of all texts of docs, bits per byte.
+    """One row for each row of docs: bytes, code length in bits given all other bytes of docs, bits per byte.
 
     Null and empty texts: 0 bytes, 0 bits, bits per byte null. Null doc_ids stay null; repeated rows count as
     often as they occur and are scored each; texts may have any length (none is split from its context);

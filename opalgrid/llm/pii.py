@@ -1,13 +1,13 @@
 """Personal data by a character-level bidirectional LSTM with a conditional random field over its tags.
 
 The network is trained in numpy from labelled spans: a generator writes lines of words with e-mail
-addresses, telephone numbers, IP addresses and card numbers, and with numbers, dates, versions and keys that are
-none of these. Forward-backward gives the gradient of the random field, backpropagation through time
-that of the network. Texts are cut into overlapping windows, each is decoded by Viterbi, and the spans
-of all windows of a text are reconciled together: the set of spans that don't overlap, with the largest weight.
+addresses, telephone numbers, IP addresses, card and account numbers, and with numbers, dates, versions and keys
+that are none of these. Forward-backward gives the gradient of the random field, backpropagation through time
+that of the network; its gates and states are piecewise linear. Texts are cut into overlapping windows, every window is labelled,
+and the spans of all windows of a text are reconciled together: the set of spans that don't overlap, with the largest weight.
 
-A span must hold a digit or `@` (an e-mail address an `@`). So a window without either can't give a span,
-and leaving it out of decoding changes no result.
+Viterbi runs where it can matter: where at every position the best tag's lead over none, with the most that transitions
+can add, isn't positive, the path without a span is the best one, and decoding would find it.
 """
 
 from __future__ import annotations
@@ -25,28 +25,23 @@ from pyspark.sql import functions as F
 
 from opalgrid.llm.common import buffers, slices
 
-TAGS = ("O", "EMAIL", "PHONE", "IP", "CARD")
-HIDDEN, WINDOW, STRIDE, LANES = 16, 160, 96, 256
-STEPS, BATCH, LENGTH = 300, 32, 72
+TAGS = ("O", "EMAIL", "PHONE", "IP", "CARD", "IBAN")
+HIDDEN, WINDOW, STRIDE, LANES = 12, 192, 144, 512
+STEPS, BATCH, LENGTH = 640, 24, 128
 RESULT = "doc_id long, start long, length long, pii_type string, weight double"
 
 _PAD = 0
 
 
 def _classes() -> np.ndarray:
-    """Class of a character by its first UTF-8 byte: digits, small and capital letters, other letters, blank,
-    line end; each other ASCII character is its own."""
-    lut = np.zeros(256, np.int64)
-    lut[128:] = 1
-    lut[97:123], lut[65:91] = 3, 4
-    lut[[32, 9]], lut[[10, 13]] = 5, 6
-    k = 7
-    for b in range(33, 127):
-        if not chr(b).isalnum():
-            lut[b] = k
-            k += 1
-    lut[[*range(9), 11, 12, *range(14, 32), 127]] = 5
-    lut[48:58] = k
+    """Class of a character by its first UTF-8 byte: each ASCII letter and mark is its own, other letters share one, as do
+    blanks, line ends and control characters."""
+    lut = np.full(256, 1, np.int64)
+    lut[[*range(9), 11, 12, *range(14, 32), 127]] = 2
+    lut[[32, 9]], lut[[10, 13]] = 3, 4
+    rest = [b for b in range(33, 127) if not 48 <= b < 58]
+    lut[rest] = 5 + np.arange(len(rest))
+    lut[48:58] = 5 + len(rest)
     return lut
 
 
@@ -55,7 +50,9 @@ _DIGIT = int(_LUT[48])
 #: Digits are told apart by the length of their run, those in a word with letters have the last class.
 _RUNS = np.array([3, 4, 5, 10, 13, 20])
 _N = _DIGIT + len(_RUNS) + 2
-_AT = _LUT[ord("@")]
+_AT = int(_LUT[ord("@")])
+_LETTER = np.zeros(_N, bool)
+_LETTER[[1, *_LUT[65:91], *_LUT[97:123]]] = True
 
 
 def codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +69,7 @@ def codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = starts[digit[starts]]
         stops = np.flatnonzero(np.concatenate([change, [True]]) | edge[1:]) + 1
         stops = stops[digit[stops - 1]]
-        letter = np.concatenate([(c == 1) | (c == 3) | (c == 4), [False]])
+        letter = np.concatenate([_LETTER[c], [False]])
         mixed = letter[starts - 1] & ~edge[starts] | letter[stops] & ~edge[stops]
         kind = _DIGIT + np.where(mixed, len(_RUNS) + 1, np.searchsorted(_RUNS, stops - starts, side="right"))
         c[digit] = np.repeat(kind, stops - starts)
@@ -102,6 +99,9 @@ def _pii(rng: random.Random, tag: int) -> str:
         return rng.choice([f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(2)} {d(3)} {d(2)} {d(2)}", f"+{d(1)}-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(7)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}"])
     if tag == 3:
         return ".".join(str(n(0, 256)) for _ in range(4))
+    if tag == 5:
+        body = rng.choice(["CH", "DE", "FR", "GB", "ES", "IT", "AT", "NL"]) + d(2) + rng.choice(["", "", "NWBK"]) + d(n(12, 19))
+        return " ".join(body[i : i + 4] for i in range(0, len(body), 4)) if rng.random() < 0.5 else body
     return rng.choice([d(16), d(16), d(16), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)), d(15)])
 
 
@@ -120,19 +120,20 @@ def labelled_line(rng: random.Random, length: int) -> tuple[str, list[tuple[int,
     """A line of at least `length` characters and its (start, end, tag) spans."""
     text, found = "", []
     style = rng.randrange(5)
+    busy = rng.choice((0.0, 0.0, 0.02, 0.28, 0.28))  # share of words that aren't plain; most text has none for pages
     while len(text) < length:
         r = rng.random()
-        if r < 0.16:
+        if r < busy * 0.57:
             tag = rng.randrange(1, len(TAGS))
             value = _pii(rng, tag)
             before = rng.choice(["", "", "", "", "(", '"', "<", "["])
             found.append((len(text) + len(before), len(text) + len(before) + len(value), tag))
             word = before + value + {"(": ")", '"': '"', "<": ">", "[": "]", "": ""}[before]
-        elif r < 0.28:
+        elif r < busy:
             word = _other(rng)
         else:
             word = _letters(rng, rng.randrange(1, 13))
-            word = word.capitalize() if rng.random() < 0.12 else word.upper() if style == 4 else word
+            word = word.capitalize() if rng.random() < 0.15 else word.upper() if style == 4 else word
             if rng.random() < 0.12:
                 at = rng.randrange(len(word))
                 word = word[:at] + "é" + word[at:]
@@ -166,61 +167,82 @@ def batch_of(rng: random.Random, b: int, t: int) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Network:
-    embed: np.ndarray  # direction, class, 4 * hidden (input, forget, output, candidate), bias within
-    recur: np.ndarray  # direction, hidden, 4 * hidden
-    out: np.ndarray  # 2 * hidden, tags
+    embed: np.ndarray  # direction, 4 * hidden (input, forget, output, candidate), class; bias within
+    recur: np.ndarray  # direction, 4 * hidden, hidden
+    out: np.ndarray  # tags, 2 * hidden
     bias: np.ndarray
     trans: np.ndarray  # tags, tags
     start: np.ndarray
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * z)
-
-
-def _lstm(net: Network, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States (time, direction, lane, hidden); direction 1 runs from the end, its times are turned back."""
-    t, b = x.shape
-    h = c = np.zeros((2, b, HIDDEN), np.float32)
-    out, tape = np.empty((t, 2, b, HIDDEN), np.float32), []
+def _lstm(embed: np.ndarray, recur: np.ndarray, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """States (time + 1, hidden, lane) of one direction over classes x (time, lane)."""
+    (t, b), n = x.shape, recur.shape[1]
+    hs, c = np.zeros((t + 1, n, b), embed.dtype), np.zeros((n, b), embed.dtype)
+    z, e, bound = np.empty((4 * n, b), embed.dtype), np.empty((4 * n, b), embed.dtype), np.empty((n, b), embed.dtype)
+    tape = []
     for k in range(t):
-        z = np.matmul(h, net.recur)
-        z[0] += net.embed[0].take(x[k], axis=0)
-        z[1] += net.embed[1].take(x[t - 1 - k], axis=0)
-        gate, cand = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
-        i, f, o = gate[..., :HIDDEN], gate[..., HIDDEN : 2 * HIDDEN], gate[..., 2 * HIDDEN :]
-        new = f * c + i * cand
-        th = np.tanh(new)
         if keep:
-            tape.append((gate, cand, c, th, h))
-        c, h = new, o * th
-        out[k, 0], out[t - 1 - k, 1] = h[0], h[1]
-    return out, tape
-
-
-def _lstm_back(net: Network, x: np.ndarray, tape: list, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t, b = x.shape
-    dh = dc = np.zeros((2, b, HIDDEN), np.float32)
-    d_embed, d_recur = np.zeros_like(net.embed), np.zeros_like(net.recur)
-    hot = np.eye(_N, dtype=np.float32)
-    back = net.recur.transpose(0, 2, 1)
-    for k in range(t - 1, -1, -1):
-        gate, cand, c, th, h = tape[k]
-        dh = dh + np.stack([grad[k, 0], grad[t - 1 - k, 1]])
-        i, f, o = gate[..., :HIDDEN], gate[..., HIDDEN : 2 * HIDDEN], gate[..., 2 * HIDDEN :]
-        dc = dc + dh * o * (1 - th * th)
-        dz = np.concatenate([dc * cand * i * (1 - i), dc * c * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - cand * cand)], axis=2)
-        d_recur += np.matmul(h.transpose(0, 2, 1), dz)
-        d_embed[0] += hot[x[k]].T @ dz[0]
-        d_embed[1] += hot[x[t - 1 - k]].T @ dz[1]
-        dh, dc = np.matmul(dz, back), dc * f
-    return d_embed, d_recur
+            z, bound = np.empty_like(z), np.empty_like(bound)
+        np.matmul(recur, hs[k], out=z)
+        np.take(embed, x[k], axis=1, out=e, mode="clip")
+        z += e
+        gates, cand = z[: 3 * n], z[3 * n :]
+        gates.clip(0, 1, out=gates)
+        cand.clip(-1, 1, out=cand)
+        if keep:
+            tape.append((z, c, bound))
+            c = c * z[n : 2 * n]
+        else:
+            c *= z[n : 2 * n]
+        c += z[:n] * cand
+        c.clip(-1, 1, out=bound)
+        if keep:
+            tape[-1] += (c,)
+        np.multiply(z[2 * n : 3 * n], bound, out=hs[k + 1])
+    return hs, tape
 
 
-def emissions(net: Network, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    h, tape = _lstm(net, x, keep)
-    both = h.transpose(0, 2, 1, 3).reshape(x.shape[0], x.shape[1], 2 * HIDDEN)
-    return both @ net.out + net.bias, both, tape
+def _lstm_back(recur: np.ndarray, x: np.ndarray, hs: np.ndarray, tape: list, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t, n, b = grad.shape
+    dh, dc = np.zeros((n, b), grad.dtype), np.zeros((n, b), grad.dtype)
+    dz_all, turned = np.empty((t, 4 * n, b), grad.dtype), np.ascontiguousarray(recur.T)
+    for k in range(t - 1, -1, -1):
+        z, before, bound, c = tape[k]
+        i, f, o, cand = z[:n], z[n : 2 * n], z[2 * n : 3 * n], z[3 * n :]
+        dh += grad[k]
+        dc += dh * o * (np.abs(c) < 1)
+        dz = dz_all[k]
+        dz[:n], dz[n : 2 * n], dz[2 * n : 3 * n], dz[3 * n :] = dc * cand, dc * before, dh * bound, dc * i
+        dz[: 3 * n] *= (z[: 3 * n] > 0) & (z[: 3 * n] < 1)
+        dz[3 * n :] *= np.abs(cand) < 1
+        dh, dc = turned @ dz, dc * f
+    rows = np.ascontiguousarray(dz_all.transpose(1, 0, 2)).reshape(4 * n, -1)
+    d_embed = np.stack([np.bincount(x.reshape(-1), weights=r, minlength=_N) for r in rows]).astype(grad.dtype)
+    return d_embed, np.matmul(dz_all, hs[:-1].transpose(0, 2, 1)).sum(axis=0)
+
+
+def emissions(net: Network, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """Scores (time, tag, lane)."""
+    fwd, ft = _lstm(net.embed[0], net.recur[0], x, keep)
+    bwd, bt = _lstm(net.embed[1], net.recur[1], x[::-1], keep)
+    n = net.recur.shape[-1]
+    e = np.matmul(net.out[:, :n], fwd[1:])
+    e += np.matmul(net.out[:, n:], bwd[1:][::-1])
+    e += net.bias[:, None]
+    return e, (fwd, ft, bwd, bt)
+
+
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean negative log-likelihood a character of the tags y (time, lane), and its gradients by the weights."""
+    e, (fwd, ft, bwd, bt) = emissions(net, x, keep=True)
+    loss, de, d_trans, d_start = crf_gradient(e.transpose(0, 2, 1), y, net.trans, net.start)
+    g, n = np.ascontiguousarray(de.transpose(0, 2, 1)).astype(e.dtype) / x.size, net.recur.shape[-1]
+    back = np.ascontiguousarray(g[::-1])
+    e0, r0 = _lstm_back(net.recur[0], x, fwd, ft, np.matmul(net.out[:, :n].T, g))
+    e1, r1 = _lstm_back(net.recur[1], x[::-1], bwd, bt, np.matmul(net.out[:, n:].T, back))
+    d_out = np.concatenate([np.matmul(d, h[1:].transpose(0, 2, 1)).sum(axis=0) for h, d in ((fwd, g), (bwd, back))], axis=1)
+    return loss / x.size, [np.stack([e0, e1]), np.stack([r0, r1]), d_out, g.sum(axis=(0, 2)), d_trans / x.size, d_start / x.size]
 
 
 def _lse(z: np.ndarray, axis: int) -> np.ndarray:
@@ -253,19 +275,15 @@ def train(steps: int = STEPS, seed: int = 23) -> Network:
     lines, rng = random.Random(seed), np.random.default_rng(seed)
     f = np.float32
     k = len(TAGS)
-    net = Network((rng.normal(size=(2, _N, 4 * HIDDEN)) * 0.3).astype(f), (rng.normal(size=(2, HIDDEN, 4 * HIDDEN)) * 0.2).astype(f), (rng.normal(size=(2 * HIDDEN, k)) * 0.2).astype(f), np.zeros(k, f), np.zeros((k, k), f), np.zeros(k, f))
-    net.embed[:, :, HIDDEN : 2 * HIDDEN] += 1
+    h = HIDDEN
+    net = Network((rng.normal(size=(2, 4 * h, _N)) * 0.3).astype(f), (rng.normal(size=(2, 4 * h, h)) * 0.2).astype(f), (rng.normal(size=(k, 2 * h)) * 0.2).astype(f), np.zeros(k, f), np.zeros((k, k), f), np.zeros(k, f))
+    net.embed[:, :h] += f(0.5)
+    net.embed[:, h : 2 * h] += f(0.8)
+    net.embed[:, 2 * h : 3 * h] += f(0.5)
     params = [net.embed, net.recur, net.out, net.bias, net.trans, net.start]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        x, y = batch_of(lines, BATCH, LENGTH)
-        e, both, tape = emissions(net, x, keep=True)
-        _, de, d_trans, d_start = crf_gradient(e, y, net.trans, net.start)
-        de = (de / x.size).astype(f)
-        flat = de.reshape(-1, k)
-        d_both = (de @ net.out.T).reshape(LENGTH, BATCH, 2, HIDDEN).transpose(0, 2, 1, 3)
-        d_embed, d_recur = _lstm_back(net, x, tape, d_both)
-        grads = [d_embed, d_recur, both.reshape(-1, 2 * HIDDEN).T @ flat, flat.sum(axis=0), d_trans / x.size, d_start / x.size]
+        _, grads = gradients(net, *batch_of(lines, BATCH, LENGTH))
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = 0.02 * min(1, step / 20) * (0.05 + 0.95 * (1 - step / steps))
         for q, g, a, c in zip(params, grads, m, v):
@@ -325,25 +343,33 @@ def reconcile(spans: list[tuple[int, int, int, float, bool]]) -> list[tuple[int,
     return out[::-1]
 
 
+def without_span(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Lanes of emissions (time, tag, lane) whose best path is surely the one without a span."""
+    enter = max((trans[:, 1:] - trans[0, 0]).max(), (start[1:] - start[0]).max())
+    leave = max(0.0, (trans[1:, 0] - trans[0, 0]).max())
+    return (e[:, 1:].max(axis=1) - e[:, 0]).max(axis=0) + enter + leave <= 0
+
+
 def find(net: Network, chars: np.ndarray, first: np.ndarray, everywhere: bool = False) -> list[tuple[int, int, int, int, float]]:
-    """(text, start, end, tag, weight) of several texts. `everywhere` decodes the windows without digit or `@` too."""
+    """(text, start, end, tag, weight) of several texts. `everywhere` runs Viterbi over windows that surely have no span too."""
     sizes = np.diff(first)
     per = np.where(sizes > 0, np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE)), 0)
     text = np.repeat(np.arange(len(sizes)), per)
     begin = STRIDE * (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
-    trigger = np.concatenate([[0], np.cumsum((chars >= _DIGIT) | (chars == _AT))])
-    at_sign = np.concatenate([[0], np.cumsum(chars == _AT)])
+    # by definition an e-mail address holds an `@` and each other type a digit; a reading without it is no span
+    holds = [np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (chars >= _DIGIT, chars == _AT)]
     lo = first[text] + begin
     hi = np.minimum(lo + WINDOW, first[text + 1])
-    if not everywhere:
-        m = trigger[hi] > trigger[lo]
-        text, begin, lo, hi = text[m], begin[m], lo[m], hi[m]
     by: dict[int, list] = {}
     for a in range(0, len(lo), LANES):
         at = lo[a : a + LANES][None, :] + np.arange(WINDOW)[:, None]
         inside = at < hi[a : a + LANES]
         x = np.where(inside, chars[np.minimum(at, len(chars) - 1)], _PAD)
-        e, _, _ = emissions(net, x)
+        e, _ = emissions(net, x)
+        some = np.arange(x.shape[1]) if everywhere else np.flatnonzero(~without_span(e, net.trans, net.start))
+        if not len(some):
+            continue
+        e, inside = np.ascontiguousarray(e[:, :, some].transpose(0, 2, 1)), inside[:, some]
         tags = np.where(inside, viterbi(e, net.trans, net.start), 0)
         gain = np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]
         edge = np.zeros((1, tags.shape[1]), np.int64)
@@ -351,12 +377,11 @@ def find(net: Network, chars: np.ndarray, first: np.ndarray, everywhere: bool =
         change = padded[1:] != padded[:-1]
         for lane in np.flatnonzero((tags > 0).any(axis=0)):
             cuts = np.flatnonzero(change[:, lane])
-            k = a + int(lane)
+            k = a + int(some[lane])
             for s, t in zip(cuts[:-1], cuts[1:]):
                 tag = int(tags[s, lane])
-                g = int(lo[k])
-                if tag and (at_sign if tag == 1 else trigger)[g + t] > (at_sign if tag == 1 else trigger)[g + s]:
-                    cut = bool(s == 0 and begin[k] > 0 or t == WINDOW and g + t < first[text[k] + 1])
+                if tag and holds[tag == 1][lo[k] + t] > holds[tag == 1][lo[k] + s]:
+                    cut = bool(s == 0 and begin[k] > 0 or t == WINDOW and lo[k] + t < first[text[k] + 1])
                     by.setdefault(int(text[k]), []).append((int(begin[k] + s), int(begin[k] + t), tag, float(gain[s:t, lane].sum()), cut))
     return [(d, *x) for d in sorted(by) for x in reconcile(by[d])]
 

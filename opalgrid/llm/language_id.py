@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import SLICE_BYTES, buffers, slices
+from opalgrid.llm.common import SLICE_BYTES, buffers, slices, trim
 
 HIDDEN, WINDOW, CONTEXT, LANES = 16, 160, 16, 512
 #: Bound on the labelled documents that the network is fitted on, and the share of them held out to say when to stop.
@@ -294,7 +294,10 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Network | None:
     chosen = rows.select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(most)
     one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r"))
     sample = sorted(one.select("doc_id", "r.text", "r.lang").collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in sample], [r.lang for r in sample])
+    net = train([r.text for r in sample], [r.lang for r in sample])
+    del sample
+    trim()
+    return net
 
 
 def language_id(docs: DataFrame, net: Network | None = None, most: int = TRAIN_DOCS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from opalgrid.llm.common import buffers, saved, slices, unit_hash
+from opalgrid.llm.common import SLICE_BYTES, buffers, saved, slices, trim, unit_hash
 from opalgrid.llm.words import word_hashes
 
 DOMAINS = ("high", "low", "toxic")
@@ -79,9 +79,18 @@ def train(texts: list[str], domains: list[int], steps: int = 300) -> Classifier
         return None
     raw, off = buffers(pa.array(texts, pa.string()))
     y = np.array(domains)
-    h, d = word_hashes(raw, off)
-    u, inv = np.unique(h, return_inverse=True)
-    pairs = np.unique(d * len(u) + inv)
+    pieces = [(i, raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, SLICE_BYTES // 2)]
+    found = []
+    for i, part, at in pieces:
+        h, d = word_hashes(part, at)
+        o = np.lexsort((h, d))
+        h, d = h[o], d[o]
+        m = np.ones(len(h), bool)
+        m[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        found.append((h[m], (d[m] + i).astype(np.int32)))
+    u, inv = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+    pairs = np.concatenate([d for _, d in found]) * np.int64(len(u)) + inv
+    del found, inv
     df = np.bincount(pairs % len(u), minlength=len(u))
     chosen: set[int] = set()
     for c in range(len(DOMAINS)):
@@ -94,21 +103,25 @@ def train(texts: list[str], domains: list[int], steps: int = 300) -> Classifier
         chi[df < 5] = 0
         chosen |= set(np.argsort(-chi, kind="stable")[:WORDS][np.sort(chi)[::-1][:WORDS] > 0].tolist())
     words = np.sort(u[sorted(chosen)]) if chosen else np.empty(0, np.uint64)
-    tokens, shapes, d, at = _features(raw, off, words)
+    parts = [(i, *_features(part, at, words)) for i, part, at in pieces]
+    shapes = np.concatenate([x[2] for x in parts])
     mean, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-6
     x = np.zeros((len(y), len(words) + _SHAPES + 1), np.float32)
-    x[d, at] = 1
+    for i, _, _, d, at in parts:
+        x[i + d, at] = 1
     x[:, len(words) : -1] = np.clip((shapes - mean) / scale, -5, 5)
     x[:, -1] = 1
-    w = np.zeros((x.shape[1], len(DOMAINS)), np.float64)
+    w = np.zeros((x.shape[1], len(DOMAINS)), np.float32)
     present = np.array([(y == c).any() for c in range(len(DOMAINS))])
+    none = np.where(present, 0, -30).astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    target = np.eye(len(DOMAINS))[y]
+    target = np.eye(len(DOMAINS), dtype=np.float32)[y]
     for step in range(1, steps + 1):
-        p = _softmax(x @ w + np.where(present, 0, -30))
+        p = _softmax(x @ w + none)
         g = x.T @ (p - target) / len(y) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w -= (0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    w = w.astype(np.float64)
     w[-1] += np.where(present, 0, -30)
     return Classifier(words, w, mean, scale)
 
@@ -151,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Classifie
     chosen = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     rows = sorted(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain")).collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [r.domain for r in rows]) if rows else None
+    model = train([r.text for r in rows], [r.domain for r in rows]) if rows else None
+    del rows
+    trim()
+    return model
 
 
 @dataclass

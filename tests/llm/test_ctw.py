@@ -41,19 +41,16 @@ def brute(texts: list[str]) -> list[float]:
             memo[ctx, node] = k if len(ctx) == ctw.DEPTH else math.log(0.5) + np.logaddexp(k, sum(weighted(c, node) for c in kids[ctx, node]))
         return memo[ctx, node]
 
-    out = []
-    for own in steps:
-        bits = 0.0
-        for ctx, node, bit in own:
-            p, left = 0.0, 1.0
-            for d in range(ctw.DEPTH + 1):
-                a, b = counts[ctx[:d], node]
-                est = ((b if bit else a) + 0.5) / (a + b + 1)
-                stop = 1.0 if d == ctw.DEPTH else math.exp(math.log(0.5) + kt(a, b) - weighted(ctx[:d], node))
-                p, left = p + left * stop * est, left * (1 - stop)
-            bits -= math.log2(p)
-        out.append(bits)
-    return out
+    def without(ctx: bytes, node: int, bit: int) -> float:
+        """log of the weighted probability at the root, with one occurrence of bit taken out of its path."""
+        w = 0.0
+        for d in range(ctw.DEPTH, -1, -1):
+            a, b = counts[ctx[:d], node]
+            k = kt(a - (bit == 0), b - (bit == 1))
+            w = k if d == ctw.DEPTH else math.log(0.5) + np.logaddexp(k, w + sum(weighted(c, node) for c in kids[ctx[:d], node] if c != ctx[: d + 1]))
+        return w
+
+    return [-sum(weighted(b"", node) - without(ctx, node, bit) for ctx, node, bit in own) / math.log(2) for own in steps]
 
 
 def test_kt_is_the_sequential_product():
@@ -79,6 +76,22 @@ def test_scores_match_brute_force(spark):
         assert (by[i].bits_per_byte is None) == (not t)
 
 
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2), np.arange(300, dtype=np.uint64), np.array([(1 << 64) - 1], np.uint64)]))
+    counts = rng.integers(1, 1 << 40, len(keys))
+    k, c = ctw.unpack(ctw.pack(keys, counts))
+    assert (k == keys).all() and (c == counts).all() and len(ctw.unpack(ctw.pack(keys[:0], counts[:0]))[0]) == 0
+
+
+def test_a_text_that_occurs_twice_costs_less(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(120)]
+    got = {r.doc_id: r.bits_per_byte for r in ctw.lm_score(spark.createDataFrame([*enumerate(texts), *((200 + k, texts[k]) for k in range(10))], "doc_id long, text string")).collect()}
+    assert max(got[k] for k in range(10)) < min(got[k] for k in range(10, 120)) and all(abs(got[k] - got[200 + k]) < 1e-9 for k in range(10))
+
+
 def test_empty_table(spark):
     assert ctw.lm_score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -7,32 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opalgrid.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from opalgrid.llm.common import keyed, saved, table
+from opalgrid.llm.common import saved, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in whose text language identification finds a language."""
+    """Documents in whose text language identification finds a language, repeated rows as often as they are there. Null and
+    empty texts go; a null doc_id does no harm; of equally likely languages the first in order counts, which decides nothing
+    here."""
     return language_id.accepted(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; a null id is in no group."""
-    return keyed(docs, ngram_join.duplicates(docs), "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near duplicates the row with the smallest id, null ids last; of repeated rows one. Texts without
+    words are in no class and stay."""
+    return ngram_join.distinct(docs)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Null and empty texts have none and stay, rows with a null doc_id are decided by
+    their text, repeated rows alike. An empty benchmark takes nothing out."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken as often as the rates of their domains say."""
+    """Documents taken as often as the rates of their domains say: rows with a null doc_id once, repeated rows
+    equally often, null and empty texts by a rate like others."""
     return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard."""
-    return sharding.shard(docs)
+    """The documents with all their columns and their shard. Copies share a shard; null and empty texts are 0 bytes; a
+    null doc_id stays null."""
+    return sharding.sharded(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

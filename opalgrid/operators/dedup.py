@@ -40,14 +40,31 @@ def matches(p: DataFrame) -> DataFrame:
     """(block, a, b, title, total) of rows of different sources and one company that are the same posting.
 
     All but the title ratio is native and comes first; a bound on the ratio by the lengths of both titles
-    leaves few pairs for Python. The block is the shuffle key; a company with very many rows is split by
-    the adaptive skew join. Rows without a company or title match nothing.
+    leaves few pairs for Python. Rows meet by company and window of MAX_DAYS + 1 days: a row is in its own window and in the next one, and a pair
+    counts where the later row's window is. So the pairs of a large company grow with its days, not with the square of its rows; rows without a date, which match any date, meet
+    by company alone. Rows without a company or title match nothing.
     """
     k = keyed(p).filter("block != '' and title_key != ''")
+    slot = F.floor(F.datediff("day", F.lit("1970-01-01")) / (MAX_DAYS + 1))
+    dated, undated = k.filter("day is not null").withColumn("slot", slot), k.filter("day is null")
     gap = F.abs(F.datediff("a.day", "b.day"))
     ac, bc, acity, bcity = (F.col(x) for x in ("a.canton_key", "b.canton_key", "a.city_key", "b.city_key"))
     near = (ac == "") | (bc == "") | (ac == bc) | ((acity != "") & (acity == bcity))
-    joined = k.alias("a").join(k.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a._ord") < F.col("b._ord")) & (F.col("a.src") != F.col("b.src")) & (F.coalesce(gap, F.lit(0)) <= MAX_DAYS) & near)
+    both = (F.col("a.block") == F.col("b.block")) & (F.col("a.src") != F.col("b.src")) & (F.coalesce(gap, F.lit(0)) <= MAX_DAYS) & near
+    first = F.col("a._ord") < F.col("b._ord")
+    own, later = dated, dated.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1)))
+    # within a window each pair meets twice, from both ends; across windows once, from the earlier one
+    meet = later.withColumn("moved", F.col("slot") != slot).alias("x").join(own.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.moved") | (F.col("x._ord") < F.col("y._ord"))))
+    names = k.columns
+    swap = F.col("x._ord") < F.col("y._ord")
+    pair = lambda q: F.struct(*(F.when(q, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c) for c in names))
+    dated_pairs = meet.select(pair(swap).alias("a"), pair(~swap).alias("b")).filter(both)
+    row = F.struct(*names)
+    left, right = undated.select(row.alias("a")), k.select(row.alias("b"))
+    some = left.join(right, (F.col("a.block") == F.col("b.block")) & (F.col("a._ord") != F.col("b._ord")) & (F.col("b.day").isNotNull() | first))
+    swapped = F.col("a._ord") > F.col("b._ord")
+    undated_pairs = some.select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b")).filter(both)
+    joined = dated_pairs.unionByName(undated_pairs)
     place = F.when((acity != "") & (acity == bcity), 1.0).when((ac != "") & (ac == bc), 0.8).when((acity != "") != (bcity != ""), 0.6).when((ac != "") != (bc != ""), 0.55).otherwise(0.5)
     day = F.when(gap.isNull(), 0.5).when(gap == 0, 1.0).when(gap <= 3, 0.9).when(gap <= 7, 0.75).when(gap <= MAX_DAYS, 0.6).otherwise(0.0)
     body = F.when((F.size("a.body_tokens") == 0) | (F.size("b.body_tokens") == 0), 0.5).otherwise(jaccard(F.col("a.body_tokens"), F.col("b.body_tokens")))
@@ -87,17 +104,29 @@ def clusters(p: DataFrame) -> DataFrame:
 
 def merged(p: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
     """One row for each cluster: all columns of its fullest row, first and last dates, the longest description,
-    skills of all rows in order without repetition, and the sources."""
+    and salary text, the lists of all rows in order without repetition, and the sources."""
     clustered = clustered if clustered is not None else clusters(p)
     every = p.join(clustered, "_ord")
-    plain = [c for c, t in p.dtypes if c not in ("_ord", "publication_date", "first_seen_at", "last_seen_at", "description_text", "skills_list")]
+    plain = [c for c, t in p.dtypes if c not in ("_ord", "publication_date", "first_seen_at", "last_seen_at", "description_text", "salary_text") and not (t == "array<string>" and c.endswith("_list"))]
     filled = sum((F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), 1).otherwise(0) for c in plain), F.lit(0))
     size = F.coalesce(F.length("description_text"), F.lit(0))
     rank = F.struct(filled, size, F.coalesce(F.size("skills_list"), F.lit(0)), -F.col("_ord"))
-    lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_ord", F.coalesce("skills_list", F.array().cast("array<string>")).alias("l")))), lambda x: x["l"]))
+    none = F.array().cast("array<string>")
+    kinds = [c for c, t in p.dtypes if t == "array<string>" and c.endswith("_list")]
+
+    def union(c: str) -> Column:
+        """Items of all rows in order, the first spelling of each; items that differ in case or accents are one."""
+        every_ = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_ord", F.coalesce(c, none).alias("l")))), lambda x: x["l"]))
+        keys = F.transform(every_, text_key)
+        return F.filter(every_, lambda x, i: F.array_position(keys, text_key(x)) == i + 1)
+
+    longest = lambda c: F.trim(F.max_by(c, F.struct(F.coalesce(F.length(c), F.lit(0)), -F.col("_ord"))))
+    texts = [longest(c).alias(c) for c in ("description_text", "salary_text") if c in p.columns]
     dates = [f(c).alias(c) for c, f in (("publication_date", F.min), ("first_seen_at", F.min), ("last_seen_at", F.max)) if c in p.columns]
-    out = every.groupBy("cluster").agg(F.max_by(F.struct(*plain), rank).alias("row"), *dates, F.trim(F.max_by("description_text", F.struct(size, -F.col("_ord")))).alias("description_text"), F.array_distinct(lists).alias("skills_list"), F.array_sort(F.collect_set("source")).alias("sources"), F.count(F.lit(1)).alias("duplicate_count"))
-    return out.select("cluster", "row.*", *(d for d in ("publication_date", "first_seen_at", "last_seen_at") if d in p.columns), "description_text", "skills_list", "sources", "duplicate_count")
+    sources = F.array_sort(F.array_distinct(F.transform(F.collect_set("source"), F.trim)))
+    out = every.groupBy("cluster").agg(F.max_by(F.struct(*plain), rank).alias("row"), *dates, *texts, *(union(c).alias(c) for c in kinds), sources.alias("sources"), F.count(F.lit(1)).alias("duplicate_count"))
+    names = [d for d in ("publication_date", "first_seen_at", "last_seen_at", "description_text", "salary_text") if d in p.columns]
+    return out.select("cluster", "row.*", *names, *kinds, "sources", "duplicate_count")
 
 
 def report(p: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
@@ -106,8 +135,14 @@ def report(p: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
     n = Window.partitionBy("cluster")
     several = clustered.withColumn("n", F.count(F.lit(1)).over(n)).filter("n > 1")
     number = several.select("cluster").distinct().withColumn("k", F.row_number().over(Window.orderBy("cluster")))  # over duplicates' groups only
-    return p.join(several, "_ord").join(number, "cluster").select(F.concat(F.lit("dup-"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("duplicate_group_id"), (F.col("_ord") == F.col("cluster")).alias("is_first"), F.col("n").alias("group_size"), "vacancy_id", "source", "company", "title").orderBy("duplicate_group_id", F.desc("is_first"), "source", "vacancy_id")
+    return p.join(several, "_ord").join(number, "cluster").select(F.format_string("cross-source-%05d", "k").alias("duplicate_group_id"), (F.col("_ord") == F.col("cluster")).alias("is_first"), F.col("n").alias("group_size"), "vacancy_id", "source", "company", "title").orderBy("duplicate_group_id", F.desc("is_first"), "source", "vacancy_id")
 
 
 def share_removed(p: DataFrame, clustered: DataFrame) -> DataFrame:
     return clustered.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cluster").alias("kept")).select("rows", "kept", rint(1 - F.col("kept") / F.col("rows")).alias("removed_share"))
+
+
+def numbered(clustered: DataFrame) -> DataFrame:
+    """All clusters, single rows too, numbered by their first row."""
+    number = clustered.select("cluster").distinct().withColumn("number", F.row_number().over(Window.orderBy("cluster")))
+    return clustered.join(number, "cluster").select("_ord", "cluster", "number", F.format_string("cluster-%05d", "number").alias("group_id"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalgrid.functions.places import location_label
 from opalgrid.functions.taxonomy import search_seniority
 from opalgrid.functions.text import fold
 
@@ -141,3 +142,56 @@ def popular_words(d: DataFrame, column: str, stop: list[str], least: int = 2, k:
     w = F.explode(F.split(F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " ")), " "))
     out = d.select(w.alias("word")).filter((F.length("word") >= least) & ~F.col("word").rlike("^[0-9]+$") & ~F.col("word").isin(stop)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
     return out if k is None else out.limit(k)
+
+
+def decision(haystack: Column, roles: list[str], seniority: list[str], both: bool) -> Column:
+    """struct(passes, role, seniority, matched): whether any keyword of each group stands in the text. With two groups both
+    must match, or either; with one that one; with none everything passes. matched lists the keywords, each once."""
+    low, roles, seniority = F.lower(F.coalesce(haystack, F.lit(""))), [r for r in roles if r], [s for s in seniority if s]
+    hits = lambda words: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words))) if words else F.array().cast("array<string>")
+    a, b = hits(roles), hits(seniority)
+    role, level = F.size(a) > 0, F.size(b) > 0
+    passes = (role & level if both else role | level) if roles and seniority else role if roles else level if seniority else F.lit(True)
+    none = F.lit(None).cast("boolean")
+    return F.struct(passes.alias("passes"), (role if roles else none).alias("role"), (level if seniority else none).alias("seniority"), F.array_distinct(F.concat(a, b)).alias("matched"))
+
+
+def includes(haystack: Column, include: list[str], exclude: list[str]) -> Column:
+    """Whether a text has all of the first words and none of the others."""
+    low, out = F.lower(F.coalesce(haystack, F.lit(""))), F.lit(True)
+    for w in include:
+        out = out & F.contains(low, F.lit(w.lower()))
+    for w in exclude:
+        out = out & ~F.contains(low, F.lit(w.lower()))
+    return out
+
+
+def cli_order(p: DataFrame, limit: int = 0) -> DataFrame:
+    """By salary (upper, then lower end, each in place of the other; without either last), last seen and id, all from the largest; `limit` rows if above 0."""
+    high, low = (F.coalesce(F.col(a), F.col(b), F.lit(-1)) for a, b in (("salary_max", "salary_min"), ("salary_min", "salary_max")))
+    out = p.orderBy(high.desc(), low.desc(), F.coalesce(F.col("last_seen_at"), F.lit("")).desc(), F.coalesce(F.col("id"), F.lit("")).desc())
+    return out.limit(limit) if limit > 0 else out
+
+
+def place_facet(p: DataFrame, first: int = 150, then: int = 80) -> DataFrame:
+    """Postings by place label: of each source the `first` most frequent spellings are counted, labelled and summed, and `then` labels stay."""
+    spelled = p.filter(F.trim("place") != "").groupBy("source", "place").agg(F.count(F.lit(1)).alias("n"))
+    kept = spelled.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "place"))).filter(F.col("k") <= first)
+    labelled = kept.withColumn("value", location_label("place")).filter("value != ''").groupBy("value").agg(F.sum("n").alias("n"))
+    return labelled.orderBy(F.desc("n"), "value").limit(then)
+
+
+def by_keyword(p: DataFrame, terms: DataFrame, keywords: list[str]) -> DataFrame:
+    """Rows that match every keyword: in one of their terms, in the keywords matched before, or in the classifier's JSON. One aggregation of
+    the terms serves all keywords."""
+    words = [k.lower() for k in keywords if k]
+    if not words:
+        return p
+    value = F.lower("term_value")
+    hit = [F.max(F.contains(value, F.lit(w))).alias(f"__k{i}") for i, w in enumerate(words)]
+    some = terms.groupBy("vacancy_id").agg(*hit)
+    out, no = p.join(some, "vacancy_id", "left"), F.lit(False)
+    for i, w in enumerate(words):
+        own = [F.contains(F.lower(c), F.lit(w)) for c in ("keywords_matched_json", "analytics_json")]
+        out = out.filter(F.coalesce(F.col(f"__k{i}"), no) | F.coalesce(own[0], no) | F.coalesce(own[1], no))
+    return out.select(p.columns)

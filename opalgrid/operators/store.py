@@ -88,3 +88,46 @@ def token_cost(p: DataFrame, column: str, price_in: float, price_out: float, out
     t = F.ceil(F.length(F.coalesce(column, F.lit(""))) / 4)
     row = p.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(t), F.lit(0)).alias("input_tokens"))
     return row.withColumn("output_tokens", F.col("records") * out_tokens).withColumn("cost_usd", F.rint((F.col("input_tokens") * price_in + F.col("output_tokens") * price_out) / 1e6 * 1e6) / 1e6)
+
+
+def llm_candidates(p: DataFrame, source: str | None = None, missing: bool = True, since: str | None = None, until: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows to analyse: of a source, without an analysis, first seen in a range of days; the newest first by publication, else first, else
+    last sight, then by id."""
+    out = p if source is None else p.filter(F.col("source") == source)
+    if missing:
+        out = out.filter(F.coalesce(F.trim("llm_analysis_json"), F.lit("")).isin("", "{}"))
+    day = F.substring("first_seen_at", 1, 10)
+    out = out if since is None else out.filter(day >= since)
+    out = out if until is None else out.filter(day <= until)
+    out = out.orderBy(F.coalesce("publication_date", "first_seen_at", "last_seen_at").desc_nulls_last(), "vacancy_id")
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def backfill_candidates(p: DataFrame, source: str, ids: list[str] | None = None) -> DataFrame:
+    """Rows of a source that have a url and no salary at all; of these ids, if any are given."""
+    bare = F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("salary_min", "salary_max", "salary_text"))).isNull()
+    out = p.filter((F.col("source") == source) & (F.coalesce(F.trim("url"), F.lit("")) != "") & bare)
+    return out if not ids else out.filter(F.col("vacancy_id").isin(ids))
+
+
+def by_url(p: DataFrame, url: str) -> DataFrame:
+    """The row last seen under any spelling of a url, with or without a slash at its end."""
+    from urllib.parse import urlparse, urlunparse
+
+    u = urlparse(url.strip())
+    plain = u._replace(scheme=u.scheme.lower(), netloc=u.netloc.lower(), fragment="")
+    names = sorted({x.rstrip("/") for x in (url.strip(), urlunparse(plain), urlunparse(plain._replace(query="")))})
+    return p.filter(F.rtrim(F.col("url"), F.lit("/")).isin(names)).orderBy(F.desc("last_seen_at"), "vacancy_id").limit(1)
+
+
+def recent(t: Column, now: Column, hours: int) -> Column:
+    """Whether a time is at most so many hours ago; a null isn't."""
+    return F.coalesce(t >= now - F.make_interval(hours=F.lit(hours)), F.lit(False))
+
+
+def query_grid(terms: DataFrame, locations: DataFrame) -> DataFrame:
+    """Every term with every location in their orders, numbered: a search plan of a few rows each, made on the driver."""
+    a, b = ([r[0] for r in x.collect()] for x in (terms, locations))
+    pairs = [(t, p, k + 1, len(a) * len(b)) for k, (t, p) in enumerate((t, p) for t in a for p in (b or [""]))]
+    return terms.sparkSession.createDataFrame(pairs, "term string, location string, number int, total int")

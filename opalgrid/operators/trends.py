@@ -19,11 +19,18 @@ def closed(p: DataFrame) -> DataFrame:
 
 
 def moves(p: DataFrame, *keep: str) -> DataFrame:
-    """(day, published 0/1, closed 0/1): published and closed as one stream of rows, so that aligning
-    the two is the same shuffle as counting them."""
+    """(day, published, gone and the labels kept): how many postings were published and last seen on a day. One pass over the postings: each
+    gives up to two rows, counted before anything else. The newest day on which any was seen closes nothing, and which it is
+    is told by the counts."""
     labels = [known(c).alias(c) for c in keep]
-    out = p.filter("publication_date is not null").select(F.to_date("publication_date").alias("day"), F.lit(1).alias("published"), F.lit(0).alias("gone"), *labels)
-    return out.unionByName(closed(p).select(F.col("closed_date").alias("day"), F.lit(0).alias("published"), F.lit(1).alias("gone"), *labels))
+    day = lambda c, a, b: F.struct(F.to_date(c).alias("day"), F.lit(a).alias("published"), F.lit(b).alias("gone"))
+    both = p.select(F.explode(F.array(day("publication_date", 1, 0), day("last_seen_at", 0, 1))).alias("x"), *labels).select("x.*", *keep).filter("day is not null")
+    by = both.groupBy("day", *keep).agg(F.sum("published").alias("published"), F.sum("gone").alias("gone"))
+    seen = F.max(F.when(F.col("gone") > 0, F.col("day")))
+    # over a window of the days' counts; with labels, whose counts may be many, from the same aggregation by its reused exchange
+    dated = by.crossJoin(one_row(by.agg(seen.alias("__newest")))) if keep else by.withColumn("__newest", seen.over(Window.partitionBy(F.lit(0))))
+    left = dated.withColumn("gone", F.when(F.col("day") < F.col("__newest"), F.col("gone")).otherwise(F.lit(0))).drop("__newest")
+    return left.filter("published > 0 or gone > 0")
 
 
 def _period(grain: str) -> Column:
@@ -46,16 +53,21 @@ def segments(p: DataFrame, grain: str, name: str) -> DataFrame:
 
 def monthly(p: DataFrame) -> DataFrame:
     """Published postings by calendar month, years together."""
-    dated = p.filter("publication_date is not null")
-    total = one_row(dated.agg(F.count(F.lit(1)).alias("n")))
-    return dated.groupBy(F.month("publication_date").alias("month")).agg(F.count(F.lit(1)).alias("vacancy_count")).crossJoin(total).select("month", "vacancy_count", share(F.col("vacancy_count"), F.col("n")).alias("share")).orderBy("month")
+    by = p.filter("publication_date is not null").groupBy(F.month("publication_date").alias("month")).agg(F.count(F.lit(1)).alias("vacancy_count"))
+    total = F.sum("vacancy_count").over(Window.partitionBy(F.lit(0)))  # over twelve rows
+    return by.select("month", "vacancy_count", share(F.col("vacancy_count"), total).alias("share")).orderBy("month")
+
+
+def latest_publication(p: DataFrame) -> DataFrame:
+    """One row: the latest day of publication as text; null if nothing was published."""
+    return p.agg(F.date_format(F.max(F.to_date("publication_date")), "yyyy-MM-dd").alias("latest_publication_date"))
 
 
 def summary(p: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Totals and, for each window of N days up to the latest day, what was published in it and in the N days
     before, and the growth (null from 0). One pass over the counts by day."""
-    days = moves(p).groupBy("day").agg(F.sum("published").alias("published"), F.sum("gone").alias("gone"))
-    days = days.crossJoin(one_row(days.agg(F.max("day").alias("latest"))))
+    days = moves(p)
+    days = days.withColumn("latest", F.max("day").over(Window.partitionBy(F.lit(0))))  # over days, not postings
     age = F.datediff("latest", "day")
     cells = [F.sum("published").alias("published_total"), F.sum("gone").alias("closed_total")]
     for n in windows:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opalgrid.functions.places import TABLES
 from opalgrid.functions.taxonomy import asks_degree, experience
 from opalgrid.functions.text import name_key
 from opalgrid.operators import dedup, metrics, skills, trends
 
-AGENCIES = ("Example Staffing", "Example Personal AG")
+#: Names of staffing agencies, in tables.json.
+AGENCIES = tuple(TABLES["agencies"])
 
 
 def without_agencies(p: DataFrame, names: tuple[str, ...] | DataFrame = AGENCIES) -> DataFrame:

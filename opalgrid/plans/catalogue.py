@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opalgrid.functions import scalars
 from opalgrid.functions.numbers import share
 from opalgrid.functions.taxonomy import EDUCATION, asks_degree, experience, matched_skills
 from opalgrid.functions.text import TITLE_STOP, company_key, jaccard, name_key, text_key, tokens
-from opalgrid.operators import dedup, metrics, search, skills, standardise, store, trends
+from opalgrid.operators import dedup, frontend, joins, metrics, search, skills, standardise, store, trends
 from opalgrid.plans import batch, snapshots
 from opalgrid.plans.postings import postings, sql, table
 from opalgrid.sources import pages
@@ -183,7 +184,8 @@ def _batches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _B = "WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events), a AS (SELECT user_id, min(t) AS first_seen, max(t) AS last_seen, count(*) AS n FROM e WHERE t < '2024-01-15' GROUP BY 1), b AS (SELECT user_id, min(t) AS first_seen, max(t) AS last_seen, count(*) AS n FROM e WHERE t >= '2024-01-15' GROUP BY 1)"
 add("upsert_state", lambda s, d: store.upsert(*_batches(s, d), "user_id", once=("first_seen",)), _B + " SELECT user_id, coalesce(a.first_seen, b.first_seen) AS first_seen, CASE WHEN b.user_id IS NOT NULL THEN b.last_seen ELSE a.last_seen END AS last_seen, CASE WHEN b.user_id IS NOT NULL THEN b.n ELSE a.n END AS n FROM a FULL JOIN b USING (user_id)")
-add("new_ids", lambda s, d: store.new_ids(_batches(s, d)[1], _batches(s, d)[0], "user_id"), _B + " SELECT * FROM b WHERE user_id NOT IN (SELECT user_id FROM a)")
+_PAIR = ["user_id", "event_type"]
+add("new_ids", lambda s, d: store.new_ids(table(s, d, "events").filter("ts >= '2024-01-03'").select(F.concat_ws("/", "user_id", "event_type").alias("k")).distinct(), table(s, d, "events").filter("ts < '2024-01-03'").select(F.concat_ws("/", "user_id", "event_type").alias("k")), "k"), "SELECT DISTINCT user_id || '/' || event_type AS k FROM events WHERE ts >= '2024-01-03' EXCEPT SELECT user_id || '/' || event_type FROM events WHERE ts < '2024-01-03'")
 add("seen_state", lambda s, d: store.seen_state(None, table(s, d, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), ["user_id", "event_type"], "ts"), "SELECT user_id, event_type, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS first_seen, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last_seen FROM events GROUP BY 1, 2")
 on_postings("token_cost", lambda p: store.token_cost(p, "title", 0.05, 0.4, 280), " SELECT count(*) AS records, CAST(sum(CAST(ceil(length(coalesce(title, '')) / 4) AS BIGINT)) AS BIGINT) AS input_tokens, count(*) * 280 AS output_tokens, round_even((sum(CAST(ceil(length(coalesce(title, '')) / 4) AS BIGINT)) * 0.05 + count(*) * 280 * 0.4) / 1e6 * 1e6, 0) / 1e6 AS cost_usd FROM postings")
 
@@ -191,7 +193,11 @@ on_postings("token_cost", lambda p: store.token_cost(p, "title", 0.05, 0.4, 280)
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="opalgrid-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="opalgrid-")
     return f"{base}/opalgrid-stream-{uuid.uuid4().hex}"
 
 
@@ -208,6 +214,53 @@ def _streamed(plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> Q
 
 
 add("stream_windows", _streamed(lambda e: streams.window_counts(e).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-add("stream_distinct", _streamed(lambda e: streams.distinct(e, ["event_id"]).select("event_id", "user_id")), "SELECT DISTINCT event_id, user_id FROM events")
+add("stream_distinct", _streamed(lambda e: streams.distinct(e, ["user_id", "event_type"]).select("user_id", "event_type")), "SELECT DISTINCT user_id, event_type FROM events")
 # in complete mode, as sessions that are open at the end would never be appended
-add("stream_sessions", _streamed(lambda e: streams.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "complete"))
+add("stream_sessions", _streamed(lambda e: streams.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "complete"), """WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k""")
+
+# ---- a dashboard's aggregates over the published tables
+
+_WEEKS = ", seg AS (SELECT CAST(date_trunc('week', day) AS DATE) AS d, {0} AS role_category, CAST(sum(published) AS BIGINT) AS n FROM moves GROUP BY 1, 2)".format(_u("role_category"))
+_weekly = lambda p: trends.segments(p, "week", "week_start")
+on_postings("trend_top_roles", lambda p: frontend.top_roles(_weekly(p), 3), _WEEKS + " SELECT role_category, CAST(sum(n) AS BIGINT) AS published_count FROM seg WHERE role_category NOT IN ('', 'Unknown', 'unknown') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+on_postings("trend_lines", lambda p: frontend.trend_lines(_weekly(p), "week_start", 3), _WEEKS + """, r AS (SELECT role_category FROM seg WHERE role_category <> 'Unknown' GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 3), g AS (SELECT DISTINCT d FROM seg)
+SELECT strftime(g.d, '%Y-%m-%d') AS week_start, r.role_category, coalesce(n, 0) AS published_count FROM g CROSS JOIN r LEFT JOIN seg ON seg.d = g.d AND seg.role_category = r.role_category""")
+for _n, _days in (("year", 365), ("halves", None)):
+    _now, _before = ("age < 365", "age >= 365 AND age < 730") if _days else ("k > floor(c / 2)", "k <= floor(c / 2)")
+    on_postings(f"trend_growth_{_n}", lambda p, days=_days: frontend.segment_growth(_weekly(p), "week_start", days), _WEEKS + f""", w AS (SELECT d, sum(n) AS n FROM seg GROUP BY 1), a AS (SELECT *, (SELECT max(d) FROM w) - d AS age, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS c FROM w
+    ), s AS (SELECT CAST(coalesce(sum(n) FILTER ({_now}), 0) AS BIGINT) AS current_count, CAST(coalesce(sum(n) FILTER ({_before}), 0) AS BIGINT) AS previous_count FROM a) SELECT *, {_r("(current_count - previous_count) / nullif(previous_count, 0)")} AS growth_rate FROM s""")
+on_postings("trend_seasons", lambda p: frontend.seasons(trends.segments(p, "day", "date")), ", m AS (SELECT CAST(month(day) AS INTEGER) AS month, CAST(sum(published) AS BIGINT) AS vacancy_count FROM moves GROUP BY 1) SELECT *, month = (SELECT month FROM m ORDER BY vacancy_count DESC, month LIMIT 1) AS is_strongest, month = (SELECT month FROM m ORDER BY vacancy_count, month LIMIT 1) AS is_weakest FROM m")
+on_postings("trend_last_days", lambda p: frontend.last_days(trends.counts(p, "day", "date"), "date", 90).select("date", "published_count"), ", g AS (SELECT day, CAST(sum(published) AS BIGINT) AS published_count FROM moves GROUP BY 1) SELECT strftime(day, '%Y-%m-%d') AS date, published_count FROM g WHERE (SELECT max(day) FROM g) - day <= 89")
+on_postings("client_filter", lambda p: frontend.client_filter(metrics.distribution(p, "company"), "company", 12, ("Customer#000000001",)).select("company", "vacancy_count"), " SELECT company, count(*) AS vacancy_count FROM postings WHERE trim(company) <> '' AND lower(company) <> 'customer#000000001' GROUP BY 1 HAVING count(*) >= 12")
+_NATIONS = {f"nation {k}": f"n{k}" for k in range(20)}
+on_postings("map_cities", lambda p: frontend.weighted_cities(p.withColumn("place", F.concat_ws(" und ", "city", F.when(F.col("work_mode") == "O", F.lit("Nation 3")))), _NATIONS, "place", "role_category"), f""", x AS (SELECT DISTINCT city, work_mode, 'n' || substr(city, 8) AS a, CASE WHEN work_mode = 'O' THEN 'n3' END AS b FROM postings
+), k AS (SELECT p._ord, p.role_category, list_filter(list_distinct([CASE WHEN CAST(substr(p.city, 8) AS INTEGER) < 20 THEN 'n' || substr(p.city, 8) END, CASE WHEN p.work_mode = 'O' THEN 'n3' END]), lambda z: z IS NOT NULL) AS keys FROM postings p
+), e AS (SELECT unnest(keys) AS city_key, 1.0 / len(keys) AS w, role_category FROM k WHERE len(keys) > 0), t AS (SELECT city_key, 'total' AS dimension, '' AS label, CAST(sum(w) AS DOUBLE) AS vacancy_count FROM e GROUP BY 1 UNION ALL SELECT city_key, 'role_category', role_category, CAST(sum(w) AS DOUBLE) FROM e WHERE role_category IS NOT NULL GROUP BY 1, 3
+), s AS (SELECT *, max(vacancy_count) FILTER (dimension = 'total') OVER (PARTITION BY city_key) AS whole FROM t) SELECT city_key, dimension, label, vacancy_count, {_r("vacancy_count / whole")} AS share, CAST(row_number() OVER (PARTITION BY CASE WHEN dimension <> 'total' THEN city_key END, dimension ORDER BY vacancy_count DESC, label, city_key) AS INTEGER) AS rank FROM s""")
+on_postings("latest_publication", trends.latest_publication, " SELECT strftime(max(publication_date), '%Y-%m-%d') AS latest_publication_date FROM postings")
+on_postings("cube_counts", lambda p: p.cube("canton", "work_mode").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level")), " SELECT canton, work_mode, count(*) AS n, CAST(grouping(canton, work_mode) AS INTEGER) AS level FROM postings GROUP BY CUBE (canton, work_mode)")
+
+# ---- joins, sets, frames and scalar functions over the tables
+
+
+def _purchases(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return joins.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'click'").select("user_id", "ts", "event_id"), ["user_id"], "ts", ["event_id"]).select("event_id", "event_id_before")
+
+
+add("join_as_of", _purchases, "SELECT a.event_id, b.event_id AS event_id_before FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+add("join_range", lambda s, d: joins.in_range(table(s, d, "part").select("p_partkey", "p_size"), table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 45).alias("low"), (F.col("s_suppkey") % 45 + F.col("s_nationkey") % 4).alias("high")), [], "p_size", "low", "high", 4).select("p_partkey", "s_suppkey"), "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size BETWEEN s_suppkey % 45 AND s_suppkey % 45 + s_nationkey % 4")
+add("set_intersect", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select("s_nationkey")), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+add("set_except", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(s, d, "orders").select("o_custkey")), "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+
+
+def _frames(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("event_type").orderBy("day")
+    by = table(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return by.select("event_type", "day", F.sum("n").over(w.rowsBetween(-6, 0)).alias("week"), F.lead("n").over(w).alias("next"), F.first("n").over(w).alias("first"), F.ntile(4).over(w).alias("quarter"))
+
+
+add("frames", _frames, "WITH c AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, day, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS week, lead(n) OVER (PARTITION BY event_type ORDER BY day) AS next, first_value(n) OVER (PARTITION BY event_type ORDER BY day) AS first, CAST(ntile(4) OVER (PARTITION BY event_type ORDER BY day) AS INTEGER) AS quarter FROM c")
+add("scalar_functions", lambda s, d: table(s, d, "part").select("p_partkey", F.col("p_name").like("%e%").alias("liked"), F.col("p_name").rlike("^(?:[a-z]+ ?)+$").alias("whole"), F.unbase64(F.base64(F.encode("p_name", "UTF-8"))).cast("string").alias("coded"), scalars.clamp(F.col("p_size").cast("double"), 10.0, 40.0).alias("clamped"), F.round(F.sqrt(F.col("p_size").cast("double")), 6).alias("root"), F.floor(F.log10(F.col("p_partkey") + 1.0)).alias("digits"), F.size(F.slice(F.split("p_name", " "), 1, 2)).alias("words"), F.col("p_size").bitwiseAND(7).cast("int").alias("bits"), F.lower(F.substring("p_type", 1, 5)).alias("kind")), "SELECT p_partkey, p_name LIKE '%e%' AS liked, regexp_full_match(p_name, '(?:[a-z]+ ?)+') AS whole, p_name AS coded, CAST(least(40, greatest(10, p_size)) AS DOUBLE) AS clamped, round(sqrt(p_size), 6) AS root, CAST(floor(log10(p_partkey + 1)) AS BIGINT) AS digits, CAST(len(string_split(p_name, ' ')[1:2]) AS INTEGER) AS words, CAST(p_size & 7 AS INTEGER) AS bits, lower(substr(p_type, 1, 5)) AS kind FROM part")
+add("stop_words", lambda s, d: search.popular_words(_docs(s, d), "text", sorted({*_STOP, *"el la de".split()}), 2).orderBy(F.desc("n"), "word").limit(50), f"WITH w AS (SELECT unnest(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS word FROM documents) SELECT word, count(*) AS n FROM w WHERE length(word) >= 2 AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN ({', '.join(repr(x) for x in sorted({*_STOP, 'el', 'la', 'de'}))}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")

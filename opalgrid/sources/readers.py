@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalgrid.functions.places import city_name, derived_canton
+from opalgrid.functions.taxonomy import loader_seniority
 from opalgrid.functions.text import clean, stable_id
 
 
@@ -93,14 +95,32 @@ def feed(df: DataFrame, pages: int, size: int) -> DataFrame:
     return alive.orderBy(F.desc("activeFrom"), F.desc("_id")).limit(pages * size)
 
 
+_LISTS = "programming_languages frameworks_libraries cloud_platforms data_platforms databases platforms tools vendors protocols_standards methodologies domains tools_platforms".split()
+
+
 def flatten_analytics(df: DataFrame, column: str = "analytics_json") -> DataFrame:
-    """Classifier's JSON to columns: role, remote mode, place and company with what the row has as fallback, and
-    all skill lists in one. Malformed JSON gives nulls and an empty list."""
-    lists = "programming_languages frameworks_libraries cloud_platforms data_platforms databases platforms tools vendors protocols_standards methodologies domains tools_platforms".split()
-    shape = "role_family_primary string, remote_mode string, seniority_labels array<string>, job_location struct<addressLocality: string, addressRegion: string>, company_name string, " + ", ".join(f"{c} array<string>" for c in lists)
+    """Classifier's JSON to columns: role, remote mode, years, seniority, place and company with what the row has as fallback, and
+    all skill lists in one. The canton is the region's, else derived from locality, place and postal code. Malformed JSON
+    gives nulls and empty lists."""
+    shape = "role_family_primary string, remote_mode string, seniority_labels array<string>, job_location struct<locality: string, region: string, postal_code: string>, company struct<name: string>, experience_years struct<min: double, max: double>, " + ", ".join(f"{c} array<string>" for c in _LISTS)
     x = df.withColumn("__a", F.from_json(column, shape, {"mode": "PERMISSIVE"}))
     empty = F.array().cast("array<string>")
+    where = F.coalesce(F.nullif(F.col("__a.job_location.locality"), F.lit("")), F.col("place"))
+    labels = F.coalesce("__a.seniority_labels", empty)
     return x.withColumns({
-        "role_category": F.col("__a.role_family_primary"), "work_mode": F.col("__a.remote_mode"), "seniority_labels": F.coalesce("__a.seniority_labels", empty), "city": F.coalesce(clean("__a.job_location.addressLocality"), F.col("place")), "canton": F.col("__a.job_location.addressRegion"),
-        "company": F.coalesce(clean("company"), F.col("__a.company_name")), "skills": F.array_distinct(F.array_compact(F.flatten(F.array(*(F.coalesce(f"__a.{c}", empty) for c in lists))))), **{f"{c}_list": F.coalesce(f"__a.{c}", empty) for c in lists[:-1]},
+        "role_category": F.col("__a.role_family_primary"), "work_mode": F.col("__a.remote_mode"), "seniority_labels": labels, "seniority": loader_seniority(F.col("title") if "title" in df.columns else F.lit(None).cast("string"), labels),
+        "experience_years_min": F.col("__a.experience_years.min"), "experience_years_max": F.col("__a.experience_years.max"), "city": city_name(where), "canton": derived_canton("__a.job_location.region", where, F.col("place"), "__a.job_location.postal_code"),
+        "company": F.coalesce(F.nullif(F.col("company"), F.lit("")), F.col("__a.company.name")), "skills": F.array_distinct(F.array_compact(F.flatten(F.array(*(F.coalesce(f"__a.{c}", empty) for c in _LISTS))))), **{f"{c}_list": F.coalesce(f"__a.{c}", empty) for c in _LISTS[:-1]},
     }).drop("__a")
+
+
+def import_csv(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Records of a CSV file; a byte order mark before the header is no part of a name. A file without a title column raises, and so
+    does one that holds searches (terms and places to look for) instead of postings."""
+    df = _csv(spark, path)
+    df = df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns))
+    have = {c.lower() for c in df.columns}
+    if not have & {n.lower() for n in SYNONYMS["title"].split()}:
+        what = "searches, not postings" if have & {"term", "search_term", "query"} else "no title column"
+        raise ValueError(f"{path}: {what}")
+    return import_records(df, source)

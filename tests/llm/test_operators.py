@@ -6,7 +6,7 @@ import gzip
 import math
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 from types import SimpleNamespace
 
 import numpy as np
@@ -306,23 +306,78 @@ def test_nearest_breaks_ties_by_id(spark):
     assert [(r.neighbor_id, r.distance) for r in got] == [(0, 0.0), (3, 0.0), (6, 0.0), (9, 0.0)]
 
 
-def test_pii(spark, odd, empty):
-    net, rng = pii.train(), random.Random(99)
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.train()
+
+
+def test_pii(spark, odd, empty, tagger):
+    net, rng = tagger, random.Random(99)
     found = right = there = 0
     for _ in range(60):
         t, spans = pii.labelled_line(rng, 500)
         raw = np.frombuffer(t.encode(), np.uint8)
         got = {(s, e, tag) for _, s, e, tag, _ in pii.find(net, *pii.codes(raw, np.array([0, len(raw)])))}
         found, right, there = found + len(got), right + len(got & set(spans)), there + len(spans)
-        assert [x[:4] for x in pii.find(net, *pii.codes(raw, np.array([0, len(raw)])), everywhere=True)] == [x[:4] for x in pii.find(net, *pii.codes(raw, np.array([0, len(raw)])))]
+        # leaving Viterbi out where it can't matter changes nothing
+        assert pii.find(net, *pii.codes(raw, np.array([0, len(raw)])), everywhere=True) == pii.find(net, *pii.codes(raw, np.array([0, len(raw)])))
     assert right / there > 0.9 and right / found > 0.9
     t = "prose " * 3000
-    r = pii.pii(frame(spark, [(1, t + "mail ann.lee@example.com now " + t)])).collect()
+    r = pii.pii(frame(spark, [(1, t + "mail ann.lee@example.com now " + t)]), net).collect()
     assert [(x.doc_id, x.start, x.length, x.pii_type) for x in r] == [(1, len(t) + 5, 19, "EMAIL")]
-    assert pii.pii(odd).count() == 0 and pii.pii(empty).count() == 0
+    assert pii.pii(odd, net).count() == 0 and pii.pii(empty, net).count() == 0
     assert pii.reconcile([(0, 5, 1, 2.0, False), (3, 9, 1, 3.0, False), (9, 12, 2, 1.0, False)]) == [(3, 9, 1, 3.0), (9, 12, 2, 1.0)]
 
 
+def path_score(e, tags, trans, start):
+    return start[tags[0]] + sum(e[i, t] for i, t in enumerate(tags)) + sum(trans[a, b] for a, b in zip(tags, tags[1:]))
+
+
+def test_pii_decodes_as_all_paths_say():
+    rng = np.random.default_rng(31)
+    for _ in range(60):
+        e, trans, start = rng.normal(size=(5, 3, 4)), rng.normal(size=(3, 3)), rng.normal(size=3)  # time, tag, lane
+        e[:, 0] += rng.choice([0.0, 6.0])
+        free = pii.without_span(e, trans, start)
+        best = pii.viterbi(e.transpose(0, 2, 1), trans, start)
+        loss, de, d_trans, d_start = pii.crf_gradient(e.transpose(0, 2, 1), best, trans, start)
+        total = 0.0
+        for lane in range(4):
+            scores = {p: path_score(e[:, :, lane], p, trans, start) for p in product(range(3), repeat=5)}
+            assert abs(max(scores.values()) - scores[tuple(best[:, lane])]) < 1e-9
+            assert not free[lane] or not best[:, lane].any()
+            total += math.log(sum(map(math.exp, scores.values()))) - scores[tuple(best[:, lane])]
+        assert abs(total - loss) < 1e-6
+
+
+def test_pii_gradients_are_those_of_finite_differences():
+    rng = np.random.default_rng(32)
+    h, k = 3, len(pii.TAGS)
+    net = pii.Network(rng.normal(size=(2, 4 * h, pii._N)) * 0.3, rng.normal(size=(2, 4 * h, h)) * 0.3, rng.normal(size=(k, 2 * h)), np.zeros(k), rng.normal(size=(k, k)) * 0.1, np.zeros(k))
+    net.embed[:, : 3 * h] += 0.5
+    x, y = rng.integers(0, 4, (7, 3)), rng.integers(0, k, (7, 3))
+    weights = [net.embed, net.recur, net.out, net.bias, net.trans, net.start]
+    for w, g in zip(weights, pii.gradients(net, x, y)[1]):
+        for _ in range(8):
+            i = tuple(int(rng.integers(0, n)) if n != pii._N else int(rng.integers(0, 4)) for n in w.shape)
+            was = w[i]
+            w[i] = was + 1e-6
+            up, _ = pii.gradients(net, x, y)
+            w[i] = was - 1e-6
+            down, _ = pii.gradients(net, x, y)
+            w[i] = was
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-6
+
+
+def test_pii_of_many_texts_is_that_of_each(tagger):
+    rng = random.Random(33)
+    texts = [pii.labelled_line(rng, rng.choice([5, 60, 150, 700]))[0] for _ in range(40)] + ["", "é"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    together = pii.find(tagger, *pii.codes(np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])])))
+    alone = [(k, *x[1:]) for k, r in enumerate(raw) if len(r) for x in pii.find(tagger, *pii.codes(r, np.array([0, len(r)])))]
+    assert [x[:4] for x in together] == [x[:4] for x in alone]
+
+
 def test_arc(spark):
     body = "HTTP/1.0 404 Not Found\r\n\r\n<p>ü</p>"
     size = len(body.encode())
@@ -471,3 +526,68 @@ def test_warc_files_read_back(spark):
         text = rest[n + 4 :]
     assert [f["WARC-Type"] for f, _ in records] == ["warcinfo", "response"] and records[1][1] == body.encode() and records[1][0]["WARC-Block-Digest"] == arc._digest(body.encode())
     assert arc.arc_to_warc(files).filter("archive = 'b.arc.gz'").count() == 4
+
+
+def brute_leak(doc, item):
+    """Whether a stretch of equal template tokens, consistent in its slots, is long enough: by trying all stretches of all alignments."""
+
+    def read(text, literal):
+        out = []
+        for w in text.split():
+            if not literal and w.isdigit():
+                out.append(("#", w))
+            elif not literal and w[0].isupper():
+                out.append(("@", w))
+            else:
+                out.append((w.lower(), None))
+        return out
+
+    for literal in (False, True):
+        a, b = read(doc, literal), read(item, literal)
+        least, plain = min(decontaminate.TOKENS, len(b)), min(decontaminate.WORDS, sum(v is None for _, v in b))
+        for shift in range(-len(b) + 1, len(a)):
+            run = [i for i in range(len(b)) if 0 <= i + shift < len(a) and a[i + shift][0] == b[i][0]]
+            for k in range(len(run)):
+                means, words = {}, 0
+                for n, i in enumerate(run[k:]):
+                    if i != run[k] + n or b[i][1] is not None and means.setdefault(b[i][1], a[i + shift][1]) != a[i + shift][1]:
+                        break
+                    words += b[i][1] is None
+                    if n + 1 >= least and words >= plain:
+                        return True
+    return False
+
+
+def test_decontaminate_finds_what_all_stretches_say(spark):
+    rng = random.Random(41)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 7))) for _ in range(300)]
+    names = ["Anna", "Berta", "Carl", "Dora"]
+
+    def sentence(n):
+        return ["said", *(rng.choice(names) if rng.random() < 0.07 and k % 3 else str(rng.randrange(2, 99)) if rng.random() < 0.08 else rng.choice(vocabulary) for k in range(n))]
+
+    items = [(k, sentence(rng.choice([6, 14, 20, 40]))) for k in range(12)]
+    docs = []
+    for k in range(90):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            i = rng.randrange(1, len(w))
+            w[i] = str(rng.randrange(100, 999)) if w[i].isdigit() else rng.choice(names) if w[i] in names else rng.choice(vocabulary)
+        if rng.random() < 0.3:
+            w = w[: rng.randrange(8, 16)]
+        docs.append((k, " ".join(["so", *(rng.choice(vocabulary) for _ in range(9)), *w, *(rng.choice(vocabulary) for _ in range(9))])))
+    items = [(k, " ".join(w)) for k, w in items]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in docs for i, x in items if brute_leak(t, x)}
+    assert got == want and len(want) > 30
+
+
+def test_decontaminate_wants_tokens_in_a_row(spark):
+    rng = random.Random(42)
+    words_ = ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(120)]
+    scraps = " ".join(" ".join(words_[20 * k : 20 * k + 8]) + " " + " ".join("".join(rng.choices("nopqrstuv", k=6)) for _ in range(12)) for k in range(6))
+    bench = spark.createDataFrame([(1, " ".join(words_)), (2, "of of of of of of")], "item_id long, text string")
+    assert decontaminate.leaks(frame(spark, [(1, scraps)]), bench).count() == 0
+    tie = spark.createDataFrame([(1, " ".join(words_)), (1, " ".join(words_)), (3, " ".join(words_))], "item_id long, text string")
+    got = decontaminate.leaks(frame(spark, [(5, " ".join(words_[:30]) + " x " + " ".join(words_[40:70])), (5, " ".join(words_[:30]) + " x " + " ".join(words_[40:70]))]), tie).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_windows) for r in got) == [(5, 1, 23), (5, 1, 23), (5, 3, 23), (5, 3, 23)]

@@ -105,7 +105,7 @@ def test_dedup(p):
     assert [(r.a, r.b) for r in pairs] == [(1, 2)]
     got = {r.cluster: r for r in dedup.merged(p).collect()}
     assert len(got) == 3 and got[1].duplicate_count == 2 and got[1].skills_list == ["python", "sql", "spark"] and got[1].sources == ["a", "b"] and got[1].vacancy_id == "1"
-    assert [(r.duplicate_group_id, r.vacancy_id) for r in dedup.report(p).collect()] == [("dup-000001", "1"), ("dup-000001", "2")]
+    assert [(r.duplicate_group_id, r.vacancy_id) for r in dedup.report(p).collect()] == [("cross-source-00001", "1"), ("cross-source-00001", "2")]
     assert dedup.merged(p.limit(0)).count() == 0
 
 

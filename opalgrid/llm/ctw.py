@@ -97,7 +97,7 @@ def count_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         keys.append(x[at])
         counts.append(np.diff(np.append(at, len(x))))
         held += len(at)
-        if held > 1_500_000:
+        if held > 1_000_000:
             k, c = _merge(keys, counts)
             keys, counts, held = [k], [c], len(k) // 2
     return _merge(keys, counts)
@@ -222,7 +222,7 @@ def _read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys.append(k)
         counts.append(c)
         held += len(k)
-        if held > 2_000_000:
+        if held > 1_200_000:
             k, c = _merge(keys, counts)
             keys, counts, held = [k], [c], len(k) // 2
     return _merge(keys, counts)

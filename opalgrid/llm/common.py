@@ -6,12 +6,13 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of a key-only table up to which it is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -45,6 +46,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: Sequence[StructField] = ()) -> DataFrame:
+    """df.mapInArrow(f) with all columns of df and those in `more`, whatever their names: f sees and gives them by their place."""
+    fields = [*df.schema.fields, *more]
+    inner = StructType([StructField(f"c{k}", x.dataType, True) for k, x in enumerate(fields)])
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(f, inner).toDF(*(x.name for x in fields))
+
+
 def keyed(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """df joined (`inner`, `left_semi` or `left_anti`) with a narrow table of keys. The keys are broadcast
     only if a count of them stays under BROADCAST_ROWS, else both sides are shuffled."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import SLICE_BYTES, buffers, slices, trim
+from opalgrid.llm.common import SLICE_BYTES, buffers, map_rows, slices, trim
 
 HIDDEN, WINDOW, CONTEXT, LANES = 16, 160, 16, 512
 #: Bound on the labelled documents that the network is fitted on, and the share of them held out to say when to stop.
@@ -57,14 +57,15 @@ def _run(x: np.ndarray, embed: np.ndarray, recur: np.ndarray, keep: bool = False
     hs = np.zeros((t + 1, size, b), embed.dtype)
     z, e, n = np.empty((2 * size, b), embed.dtype), np.empty((2 * size, b), embed.dtype), np.empty((size, b), embed.dtype)
     f, q = z[:size], z[size:]
-    tape = []
+    tape, rows, taken = [], np.ascontiguousarray(embed.T), np.empty((b, 2 * size), embed.dtype)
     for k in range(t):
         if keep:
             z, n = np.empty_like(z), np.empty_like(n)
             f, q = z[:size], z[size:]
         h, new = hs[k], hs[k + 1]
         np.matmul(recur, h, out=z)
-        np.take(embed, x[k], axis=1, out=e, mode="clip")
+        np.take(rows, x[k], axis=0, out=taken, mode="clip")
+        np.copyto(e, taken.T)  # quicker than taking columns
         f += e[:size]
         f.clip(0, 1, out=f)
         np.multiply(q, f, out=n)
@@ -319,14 +320,12 @@ def accepted(docs: DataFrame, net: Network | None = None) -> DataFrame:
     if net is None:
         net = fit(docs)
     classify = _classify(net)
-    schema = docs.schema
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
             ids = pa.array(np.zeros(batch.num_rows, np.int64))
             (result,) = classify(iter([pa.RecordBatch.from_arrays([ids, batch.column(at)], ["doc_id", "text"])]))
             yield batch.filter(result.column("accepted"))
 
-    return docs.mapInArrow(keep, schema)
+    return map_rows(docs, keep)

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField
 
-from opalgrid.llm.common import SLICE_BYTES, buffers, saved, slices, trim, unit_hash
+from opalgrid.llm.common import SLICE_BYTES, buffers, map_rows, saved, slices, trim, unit_hash
 from opalgrid.llm.words import word_hashes
 
 DOMAINS = ("high", "low", "toxic")
@@ -281,18 +281,18 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     model = fit(docs, labels)
     if model is None:
         return docs
-    fields, columns = docs.schema.fields, docs.columns
+    columns = docs.columns
     extra = ["__opalgrid_tokens", *(f"__opalgrid_p_{n}" for n in DOMAINS)]
-    wide = StructType([*fields, StructField(extra[0], LongType()), *(StructField(x, DoubleType()) for x in extra[1:])])
+    more = [StructField(extra[0], LongType()), *(StructField(x, DoubleType()) for x in extra[1:])]
     run, at = _posteriors(model), columns.index("text")
 
     def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (p,) = run(iter([pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at).cast(pa.string())], ["doc_id", "text"])]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *p.columns[1:]], [*columns, *extra])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *p.columns[1:]], [f"c{k}" for k in range(len(columns) + len(extra))])
 
     # texts are classified once: rows and probabilities are written together, and the fit reads the probabilities' columns alone
-    table = saved(docs.mapInArrow(attach, wide), "posteriors")
+    table = saved(map_rows(docs, attach, more), "posteriors")
     rates = fit_rates(table.select(*(F.col(x).alias(x.removeprefix("__opalgrid_")) for x in extra)), targets or TARGETS)
     rate = F.lit(1.0)
     for g in rates.steps:

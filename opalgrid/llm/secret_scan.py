@@ -34,7 +34,10 @@ RESULT = "doc_id long, start long, length long, char_class string, windows long,
 _CAND = np.zeros(256, bool)
 _CAND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 _XLOGX = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
-_ALLOW = [(why, re.compile(p)) for why, p in ALLOW]
+
+
+def compiled(allow: tuple[tuple[str, str], ...]) -> list[tuple[str, re.Pattern[str]]]:
+    return [(why, re.compile(p)) for why, p in allow]
 
 
 def char_class(value: str) -> str:
@@ -66,8 +69,9 @@ def max_entropy(value: str) -> float:
     return math.log2(WINDOW) - least / WINDOW
 
 
-def suppression(value: str) -> str:
-    return next((why for why, p in _ALLOW if p.search(value)), "")
+def suppression(value: str, allow: list[tuple[str, re.Pattern[str]]]) -> str:
+    """The reason of the first pattern that a value meets; '' if it meets none."""
+    return next((why for why, p in allow if p.search(value)), "")
 
 
 def candidates(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -86,35 +90,41 @@ def candidates(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
     yield from zip(doc.tolist(), s.tolist(), e.tolist())
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, (raw_all, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
-        out: list[tuple] = []
-        for i, j in slices(off):
-            raw = raw_all[off[i] : off[j]]
-            if not len(raw):
-                continue
-            local = off[i : j + 1] - off[i]
-            for doc, s, e in candidates(raw, local):
-                value = raw[s:e].tobytes().decode("ascii")
-                kind, bits = char_class(value), max_entropy(value)
-                if round(bits, 4) >= THRESHOLDS[kind]:
-                    before = raw[local[doc] : s]
-                    at = int(((before & 0xC0) != 0x80).sum())
-                    out.append((ids[i + doc], at, e - s, kind, e - s - WINDOW + 1, round(bits, 4), value[:4] + "*" * 8, suppression(value)))
-        cols = list(zip(*out)) if out else [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in RESULT.split(", ")])
-
-
-def secret_scan(docs: DataFrame) -> DataFrame:
+def _scan(allow: tuple[tuple[str, str], ...], thresholds: dict[str, float]):  # noqa: ANN202
+    allowed = compiled(allow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (raw_all, off) = batch.column(0).to_pylist(), buffers(batch.column(1))
+            out: list[tuple] = []
+            for i, j in slices(off):
+                raw = raw_all[off[i] : off[j]]
+                if not len(raw):
+                    continue
+                local = off[i : j + 1] - off[i]
+                for doc, s, e in candidates(raw, local):
+                    value = raw[s:e].tobytes().decode("ascii")
+                    kind, bits = char_class(value), max_entropy(value)
+                    if round(bits, 4) >= thresholds[kind]:
+                        before = raw[local[doc] : s]
+                        at = int(((before & 0xC0) != 0x80).sum())
+                        out.append((ids[i + doc], at, e - s, kind, e - s - WINDOW + 1, round(bits, 4), value[:4] + "*" * 8, suppression(value, allowed)))
+            cols = list(zip(*out)) if out else [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in RESULT.split(", ")])
+
+    return run
+
+
+def secret_scan(docs: DataFrame, allow: tuple[tuple[str, str], ...] = ALLOW, thresholds: dict[str, float] | None = None) -> DataFrame:
     """One row for each string whose entropy reaches its class's threshold: start and length in
-    characters, windows, entropy (4 decimals), the first four characters, and why it is suppressed ('' if not).
+    characters, windows, entropy (4 decimals), the first four characters, and why it is suppressed ('' if not): the reason of the
+    first pattern of `allow` that it meets. `thresholds` replace those of some classes.
 
     Null and empty texts give no rows, nor does an empty table; a null doc_id stays null; repeated rows
     give repeated findings; a run of any length is one candidate; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(allow, THRESHOLDS | (thresholds or {})), RESULT)
 
 
 def _sql() -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from opalgrid.functions.places import TABLES
 from opalgrid.functions.text import as_col, clean, fold, squeeze, text_key
 
 
@@ -44,7 +45,7 @@ def short_list(c: Column | str, limit: int = 12, longest: int = 220) -> Column:
 
 # ---- labels of places on the map
 
-_BROAD = r"(?i)remote|home\s*office|hybrid|switzerland|schweiz|suisse|svizzera|metropolitan area|district|canton|region|romandy|ostschweiz|deutschschweiz|central switzerland"
+_BROAD = "(?i)" + "|".join(TABLES["broad_labels"])
 
 
 def city_label(c: Column | str) -> Column:

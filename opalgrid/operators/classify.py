@@ -16,7 +16,9 @@ from opalgrid.functions.taxonomy import SKILLS, matched_skills, matching_text
 from opalgrid.functions.text import as_col, squeeze
 
 FIRM = ("intern", "junior", "senior", "manager")
-EXPERIENCE = r"(?i)(\d{1,2})\s*(?:\+|plus)?\s*(?:-|to|–|—)?\s*(\d{1,2})?\s*(?:years?|yrs?|jahre|ans?)(?=[^a-z0-9]{0,20}(?:of\s+)?(?:professional|relevant|practical|hands[- ]on)?[^a-z0-9]{0,20}(?:experience|erfahrung|expérience))"
+_ANY = {k: "|".join(TABLES[f"experience_{k}"]) for k in ("units", "kinds", "words")}
+#: A number of years, or two, before a word for experience.
+EXPERIENCE = rf"(?i)(\d{{1,2}})\s*(?:\+|plus)?\s*(?:-|to|–|—)?\s*(\d{{1,2}})?\s*(?:{_ANY['units']})(?=[^a-z0-9]{{0,20}}(?:of\s+)?(?:{_ANY['kinds']})?[^a-z0-9]{{0,20}}(?:{_ANY['words']}))"
 
 
 def empty() -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +42,49 @@ def grouped(df: DataFrame, key: str) -> dict[str, list[dict[str, Any]]]:
     return dict(sorted(out.items()))
 
 
+def cleaned(x: Any) -> Any:
+    """A document without numbers that are none: NaN and infinities become null, at any depth."""
+    if isinstance(x, dict):
+        return {k: cleaned(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [cleaned(v) for v in x]
+    return None if isinstance(x, float) and not math.isfinite(x) else x
+
+
+def json_items(text: str | None) -> list:
+    """A JSON list; anything else is an empty one."""
+    try:
+        x = json.loads(text) if text else []
+    except ValueError:
+        return []
+    return x if isinstance(x, list) else []
+
+
+def snapshot_day(day: str) -> str:
+    """The day itself, if it is an ISO date; anything else raises."""
+    return date.fromisoformat(day).isoformat()
+
+
+#: Tables that a complete run has; what isn't there is listed as missing.
+EXPECTED = ("overview_metrics", "salary_summary", "vacancy_trends_summary", "vacancy_trends_daily", "vacancy_trends_weekly", "vacancy_trends_monthly", "top_skills_overall", "city_map_details", "distribution_company", "distribution_city", "distribution_canton", "distribution_role_category", "distribution_seniority", "distribution_work_mode")
+#: Sections of the documents that hold several tables.
+SECTIONS = {
+    "trends": {"summary": "vacancy_trends_summary", "daily": "vacancy_trends_daily", "weekly": "vacancy_trends_weekly", "monthly": "vacancy_trends_monthly", "segments_daily": "vacancy_trends_segments_daily", "segments_weekly": "vacancy_trends_segments_weekly"},
+    "salary": {"summary": "salary_summary", "by_role": "salary_by_role_category", "by_seniority": "salary_by_seniority"},
+    "skills": {"overall": "top_skills_overall", "taxonomy": "top_skill_taxonomy", "taxonomy_summary": "skill_taxonomy_summary", "pairs": "skill_cooccurrence_pairs", "by_role": "top_skills_by_role_category", "by_canton": "top_skills_by_canton"},
+    "requirements": {"education": "education_requirements_summary", "experience": "experience_requirements_summary", "experience_by_seniority": "experience_by_seniority"},
+}
+
+
+def combined(made: dict[str, dict[str, Any]]) -> dict[str, dict[str, Any]]:
+    """One document for each of SECTIONS; a section whose table is missing is null."""
+    body = lambda n: next(iter(made[n].values())) if n in made else None
+    return {name: {k: body(n) for k, n in parts.items()} for name, parts in SECTIONS.items()}
+
+
 def documents(out: dict[str, DataFrame], day: str) -> dict[str, dict[str, Any]]:
     """Documents of the output tables that are there. These are reports, small by construction."""
+    day = snapshot_day(day)
     made: dict[str, dict[str, Any]] = {}
     for name, df in out.items():
         if df.columns == ["metric", "value"]:
@@ -51,8 +95,9 @@ def documents(out: dict[str, DataFrame], day: str) -> dict[str, dict[str, Any]]:
             made[name] = {"groups": grouped(df, df.columns[0])}
         else:
             made[name] = {"items": records(df)}
-    made["metadata"] = {"schema_version": VERSION, "snapshot_date": day, "available": sorted(out), "generated": sorted(made)}
-    return made
+    made |= combined(made)
+    made["metadata"] = {"schema_version": VERSION, "snapshot_date": day, "available": sorted(out), "generated": sorted(made), "missing": sorted(set(EXPECTED) - set(out))}
+    return cleaned(made)
 
 
 def best(df: DataFrame, by: Column, *ties: str) -> DataFrame:

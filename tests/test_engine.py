@@ -168,6 +168,10 @@ def test_batch_and_snapshots(p, tmp_path):
     out = batch.run(p, ("Inn",), "2026-01-01")
     assert len(out) == 28 and m(out["overview_metrics"])["total_vacancies"] == 1
     docs = snapshots.documents({k: out[k] for k in ("overview_metrics", "distribution_city", "top_skills_by_canton")}, "2026-01-31")
+    assert "salary_summary" in docs["metadata"]["missing"] and docs["trends"]["daily"] is None and set(docs["skills"]["by_canton"]) and docs["skills"]["overall"] is None
+    assert snapshots.cleaned({"a": [float("nan"), 1.5], "b": float("inf")}) == {"a": [None, 1.5], "b": None} and snapshots.json_items('{"a": 1}') == [] == snapshots.json_items("oops") and snapshots.json_items("[1]") == [1]
+    with pytest.raises(ValueError):
+        snapshots.documents({}, "soon")
     sinks.write_snapshots(docs, str(tmp_path))
     assert json.loads((tmp_path / "distribution_city.json").read_text())["items"][0]["label"] == "Zürich"
     r = snapshots.rescaled(metrics.nested_distribution(p, "canton", "work_mode"), metrics.distribution(p.filter("_ord != 2"), "canton"), "canton")

@@ -6,8 +6,8 @@ that are none of these. Forward-backward gives the gradient of the random field,
 that of the network; its gates and states are piecewise linear. Texts are cut into overlapping windows, every window is labelled,
 and the spans of all windows of a text are reconciled together: the set of spans that don't overlap, with the largest weight.
 
-Viterbi runs where it can matter: where at every position the best tag's lead over none, with the most that transitions
-can add, isn't positive, the path without a span is the best one, and decoding would find it.
+Viterbi runs where it can matter: where even a tag with the best scores and transitions of all tags gains nothing over none, the path
+without a span is the best one, and decoding would find it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from opalgrid.llm.common import buffers, slices
 
 TAGS = ("O", "EMAIL", "PHONE", "IP", "CARD", "IBAN")
-HIDDEN, WINDOW, STRIDE, LANES = 12, 192, 144, 512
+HIDDEN, WINDOW, STRIDE, LANES = 12, 256, 208, 512
 STEPS, BATCH, LENGTH = 640, 24, 128
 RESULT = "doc_id long, start long, length long, pii_type string, weight double"
 
@@ -179,14 +179,15 @@ def _lstm(embed: np.ndarray, recur: np.ndarray, x: np.ndarray, keep: bool) -> tu
     """States (time + 1, hidden, lane) of one direction over classes x (time, lane)."""
     (t, b), n = x.shape, recur.shape[1]
     hs, c = np.zeros((t + 1, n, b), embed.dtype), np.zeros((n, b), embed.dtype)
-    z, e, bound = np.empty((4 * n, b), embed.dtype), np.empty((4 * n, b), embed.dtype), np.empty((n, b), embed.dtype)
-    tape = []
+    z, e, bound = np.empty((4 * n, b), embed.dtype), np.empty((b, 4 * n), embed.dtype), np.empty((n, b), embed.dtype)
+    tape, rows, own = [], np.ascontiguousarray(embed.T), np.empty((4 * n, b), embed.dtype)
     for k in range(t):
         if keep:
             z, bound = np.empty_like(z), np.empty_like(bound)
         np.matmul(recur, hs[k], out=z)
-        np.take(embed, x[k], axis=1, out=e, mode="clip")
-        z += e
+        np.take(rows, x[k], axis=0, out=e, mode="clip")
+        np.copyto(own, e.T)  # quicker than taking columns
+        z += own
         gates, cand = z[: 3 * n], z[3 * n :]
         gates.clip(0, 1, out=gates)
         cand.clip(-1, 1, out=cand)
@@ -344,10 +345,14 @@ def reconcile(spans: list[tuple[int, int, int, float, bool]]) -> list[tuple[int,
 
 
 def without_span(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Lanes of emissions (time, tag, lane) whose best path is surely the one without a span."""
-    enter = max((trans[:, 1:] - trans[0, 0]).max(), (start[1:] - start[0]).max())
-    leave = max(0.0, (trans[1:, 0] - trans[0, 0]).max())
-    return (e[:, 1:].max(axis=1) - e[:, 0]).max(axis=0) + enter + leave <= 0
+    """Lanes of emissions (time, tag, lane) whose best path is surely the one without a span: all tags but none are taken as one that has the best
+    of their scores and transitions at every step, and even its best path gains nothing."""
+    enter, stay, leave = trans[0, 1:].max() - trans[0, 0], trans[1:, 1:].max() - trans[0, 0], trans[1:, 0].max() - trans[0, 0]
+    lead = e[:, 1:].max(axis=1) - e[:, 0]
+    none, some = np.zeros_like(lead[0]), lead[0] + (start[1:].max() - start[0])
+    for x in lead[1:]:
+        none, some = np.maximum(none, some + leave), np.maximum(none + enter, some + stay) + x
+    return np.maximum(none, some) <= 0
 
 
 def find(net: Network, chars: np.ndarray, first: np.ndarray, everywhere: bool = False) -> list[tuple[int, int, int, int, float]]:

@@ -46,11 +46,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch: an executor holds a few at once for each task, in and out, beside its heap.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were limited to BATCH_BYTES where they may be larger."""
+    conf = df.sparkSession.conf
+    now = re.sub("[^0-9]", "", conf.get(_BATCHES) or "")
+    if int(now or 0) > BATCH_BYTES:
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: Sequence[StructField] = ()) -> DataFrame:
     """df.mapInArrow(f) with all columns of df and those in `more`, whatever their names: f sees and gives them by their place."""
     fields = [*df.schema.fields, *more]
     inner = StructType([StructField(f"c{k}", x.dataType, True) for k, x in enumerate(fields)])
-    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(f, inner).toDF(*(x.name for x in fields))
+    return narrow(df).toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(f, inner).toDF(*(x.name for x in fields))
 
 
 def keyed(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:

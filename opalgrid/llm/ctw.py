@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, mix64, saved, slices, text_bytes, trim
+from opalgrid.llm.common import buffers, mix64, narrow, saved, slices, text_bytes, trim
 
 #: Bytes of context, 7 at most: with the byte itself they are a 64-bit key.
 DEPTH = 6
@@ -318,7 +318,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     often as they occur and are scored each; texts may have any length (none is split from its context);
     an empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_bytes(rows)
     chunks, ranges = max(1, math.ceil(size / CHUNK_BYTES)), max(4, min(65536, math.ceil(size / RANGE_BYTES)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(chunks)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import BROADCAST_ROWS, buffers, mix64, saved, slices
+from opalgrid.llm.common import BROADCAST_ROWS, buffers, mix64, narrow, saved, slices
 from opalgrid.llm.words import hashes, lower_bytes, spans
 
 #: Template tokens of a window, and those that must be words and not placeholders.
@@ -288,7 +288,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in spread.groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():  # 8 MB in all, at most
         present[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     t1, t2 = _keys()
-    found = docs.select(t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(_doc_windows(present, lengths), _FOUND)
+    found = narrow(docs).select(t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(_doc_windows(present, lengths), _FOUND)
     on = ["reading", "n", "hash"]
     small = items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = found.join(F.broadcast(items) if small else items, on).groupBy("t1", "t2", "item_id", *on[:2], "pos", "at").agg(*(F.first(c).alias(c) for c in ("mask", "tokens", "words", "windows", "theirs", "ours")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import SLICE_BYTES, buffers, map_rows, slices, trim
+from opalgrid.llm.common import SLICE_BYTES, buffers, map_rows, narrow, slices, trim
 
 HIDDEN, WINDOW, CONTEXT, LANES = 16, 160, 16, 512
 #: Bound on the labelled documents that the network is fitted on, and the share of them held out to say when to stop.
@@ -312,7 +312,7 @@ def language_id(docs: DataFrame, net: Network | None = None, most: int = TRAIN_D
     """
     if net is None:
         net = fit(docs, most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_classify(net), RESULT)
+    return narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_classify(net), RESULT)
 
 
 def accepted(docs: DataFrame, net: Network | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
-from opalgrid.llm.common import SLICE_BYTES, buffers, map_rows, saved, slices, trim, unit_hash
+from opalgrid.llm.common import SLICE_BYTES, buffers, map_rows, narrow, saved, slices, trim, unit_hash
 from opalgrid.llm.words import word_hashes
 
 DOMAINS = ("high", "low", "toxic")
@@ -263,7 +263,7 @@ def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     are ignored.
     """
     model = fit(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = saved(rows.mapInArrow(_posteriors(model), f"doc_id long, tokens long, {_P}"), "posteriors")
     rates = fit_rates(table, targets or TARGETS) if model else Rates([], 0.0, [])
     return table.mapInArrow(_rated(rates, [2, 3, 4]), f"doc_id long, tokens long, {_P}, rate double, residual double")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, components, keyed, mix64, saved, slices, text_bytes, trim
+from opalgrid.llm.common import buffers, components, keyed, mix64, narrow, saved, slices, text_bytes, trim
 from opalgrid.llm.words import ngrams, word_hashes
 
 NGRAM = 3
@@ -446,7 +446,7 @@ def members(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> Da
     if not 0 < threshold <= 1:
         raise ValueError("threshold lies above 0 and not above 1")
     missing = F.lit(-(1 << 63))  # packed in place of a null doc_id
-    docs = docs.select(row_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), missing).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = narrow(docs).select(row_id().alias("rid"), F.coalesce(F.col("doc_id").cast("long"), missing).alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = text_bytes(docs)
     ranges = max(4, math.ceil(size / RANGE_BYTES))
     bits = min(48, max(24, (size // 4 + 1).bit_length() + 8))  # a chance match of fingerprints: 1 in 256

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, slices
+from opalgrid.llm.common import buffers, narrow, slices
 
 TAGS = ("O", "EMAIL", "PHONE", "IP", "CARD", "IBAN")
 HIDDEN, WINDOW, STRIDE, LANES = 12, 256, 208, 512
@@ -413,4 +413,4 @@ def pii(docs: DataFrame, net: Network | None = None) -> DataFrame:
     give repeated spans; texts of any length are covered by windows; of overlapping readings the heavier
     counts, of equal ones the earlier; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_detect(net or train()), RESULT)
+    return narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_detect(net or train()), RESULT)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import buffers, slices
+from opalgrid.llm.common import buffers, narrow, slices
 
 WINDOW = 16
 #: Class: least entropy in bits. Words (letters of one case, or letters without digits) need almost
@@ -124,7 +124,7 @@ def secret_scan(docs: DataFrame, allow: tuple[tuple[str, str], ...] = ALLOW, thr
     Null and empty texts give no rows, nor does an empty table; a null doc_id stays null; repeated rows
     give repeated findings; a run of any length is one candidate; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(allow, THRESHOLDS | (thresholds or {})), RESULT)
+    return narrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(allow, THRESHOLDS | (thresholds or {})), RESULT)
 
 
 def _sql() -> str:

@@ -33,8 +33,6 @@ DEPTH = 6
 CHUNK_BYTES, RANGE_BYTES = 24 << 20, 12 << 20
 RESULT = "doc_id long, n_bytes long, bits double, bits_per_byte double"
 BLOBS = "r int, chunk long, keys binary, bits binary"
-#: Code lengths travel as 16-bit multiples of this part of a bit.
-_PART = 1024
 _HALF = math.log(0.5)
 
 
@@ -279,7 +277,7 @@ def code_lengths(levels: list[Level], keys: np.ndarray, top: np.ndarray) -> np.n
 def _lengths(top: np.ndarray):  # noqa: ANN202
     def run(t: pa.Table) -> pa.Table:
         keys, counts = _read(t)
-        bits = np.rint(np.concatenate([code_lengths(subtree(keys, counts, 2), keys, top)]) * _PART).clip(0, 65535).astype("<u2")
+        bits = code_lengths(subtree(keys, counts, 2), keys, top).astype("<f4")
         back = [bits[np.searchsorted(keys, unpack(x.as_py())[0])].tobytes() for x in t.column("keys")]
         del keys, counts, bits
         trim()
@@ -290,7 +288,7 @@ def _lengths(top: np.ndarray):  # noqa: ANN202
 
 def _score(docs: pa.Table, lengths: pa.Table) -> pa.Table:
     keys = np.concatenate([np.empty(0, "<u8"), *(unpack(x.as_py())[0] for x in lengths.column("keys"))])
-    bits = np.concatenate([np.empty(0, "<u2"), *(np.frombuffer(x.as_py(), "<u2") for x in lengths.column("bits"))])
+    bits = np.concatenate([np.empty(0, "<f4"), *(np.frombuffer(x.as_py(), "<f4") for x in lengths.column("bits"))])
     del lengths
     o = np.argsort(keys)
     keys, bits = keys[o], bits[o]
@@ -303,9 +301,9 @@ def _score(docs: pa.Table, lengths: pa.Table) -> pa.Table:
             local = off[i : j + 1] - off[i]
             wanted = keys_of(raw[off[i] : off[j]], local)
             o = np.argsort(wanted)
-            each = np.empty(len(wanted), np.int64)
+            each = np.empty(len(wanted))
             each[o] = bits[np.searchsorted(keys, wanted[o])]
-            total[i:j] = np.diff(np.concatenate([[0], np.cumsum(each)])[local]) / _PART
+            total[i:j] = np.diff(np.concatenate([[0.0], np.cumsum(each)])[local])
     n = np.diff(off)
     trim()
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(n), "bits": pa.array(total), "bits_per_byte": pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)})

@@ -8,7 +8,9 @@ each a few binary arrays instead of one row per n-gram, bring sets that can be s
 2. The sets left, copies collapsed, get the frequency of each n-gram among them and with it their order.
 3. Two sets as similar as `threshold` share an n-gram in their prefixes, and as many as the lengths
    after the prefixes demand. Sets that do are brought together; a group of many sets is cut into
-   blocks, and each pair of its blocks that can hold similar sets is a task of its own.
+   blocks, and each pair of its blocks that can hold similar sets is a task of its own. An n-gram in
+   many prefixes makes no pairs, which would be the square of a group once for each of its n-grams:
+   the sets that hold it, in stretches of sizes that can be similar, are brought together as a star.
 
 There one block's ordered sets form a trie with merged single paths. One walk carries the overlap of
 each trie path with a block of queries, so sets share the work of their common beginning, and drops a
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opalgrid.llm.common import buffers, components, keyed, mix64, narrow, saved, slices, text_bytes, trim
@@ -38,9 +40,12 @@ THRESHOLD = 0.5
 BLOCK_NGRAMS, BLOCK_DOCS, STEP_DOCS, RANGE_BYTES = 500_000, 40_000, 20_000, 12 << 20
 #: n-grams of the ranges that order sets and compare prefixes, and pairs that are summed up at once.
 SET_RANGE, PREFIX_RANGE, PAIRS_AT_ONCE = 1_000_000, 1_000_000, 400_000
+#: Prefixes up to which an n-gram makes pairs; those of a more frequent one come together as stars.
+HOT_SETS = 128
 #: Sets of one block of a group, queries that walk a trie together, and cells of their table of n-grams.
 BLOCK_SETS, QUERIES, CELLS = 3_000, 256, 24_000_000
 _EPS = 1e-9
+_STAR = 1 << 40  # shared n-grams that an edge of a star counts for
 
 BLOBS = "r int, block long, meta boolean, a binary, b binary, c binary"
 LINKS = "rep long, root long, links long, best double"
@@ -285,9 +290,22 @@ def _send_prefixes(ranges: int, threshold: float):  # noqa: ANN202
 _PAIRS = pa.schema([(x, pa.int64()) for x in ("a", "b", "sa", "sb", "n")])
 
 
-def _pairs_of_range(threshold: float):  # noqa: ANN202
+def _stars(group: np.ndarray, i: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the first set to the others in each stretch of a group, ordered by size, without a gap that no similar sets
+    bridge. Sets of one group that can be similar by their sizes lie in one stretch."""
+    o = np.lexsort((size[i], group))
+    group, i = group[o], i[o]
+    s = size[i]
+    cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (s[:-1] < threshold * s[1:] - _EPS)]))
+    head = np.repeat(np.minimum.reduceat(i, cut), np.diff(np.append(cut, len(i))))
+    k = np.unique((head << 32 | i)[head != i])
+    return k >> 32, k & 0xFFFFFFFF
+
+
+def _pairs_of_range(threshold: float, most: int = HOT_SETS):  # noqa: ANN202
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets that share n-grams of this range in their prefixes, and how many: sums over stretches of the range."""
+        """Sets that share n-grams of this range in their prefixes, and how many: sums over stretches of the range.
+        Of n-grams in more than `most` prefixes the edges of stars."""
         v, i, s = ([], [], [])
         for batch in batches:
             for out, column, kind in zip((v, i, s), ("a", "b", "c"), ("<u8", "<i8", "<u4")):
@@ -300,6 +318,12 @@ def _pairs_of_range(threshold: float):  # noqa: ANN202
         start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         group = np.diff(np.append(start, len(v)))
         del o, v
+        if (group > most).any():
+            hot = np.repeat(group > most, group)
+            a, b = _stars(np.repeat(np.arange(len(group)), group)[hot], i[hot], size, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], size[a], size[b], np.full(len(a), _STAR))], schema=_PAIRS)
+            i, group = i[~hot], group[group <= most]
+            start = np.cumsum(group) - group
         later = np.repeat(start + group, group) - np.arange(len(i)) - 1  # partners after each entry in its group
         done = np.cumsum(later)
         at = 0
@@ -462,16 +486,23 @@ def members(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> Da
     counted = chosen.sortWithinPartitions("rid").mapInArrow(_send_sets(n, ranges), BLOBS).groupBy("r").applyInArrow(_count_sets, BLOBS)
     ordered = saved(counted.groupBy("block").applyInArrow(_order_sets, "rep long, size long, grams binary, df binary"), "ordered")
     ranges = max(4, math.ceil(tokens / PREFIX_RANGE))
-    found = ordered.mapInArrow(_send_prefixes(ranges, threshold), BLOBS).groupBy("r").applyInArrow(_pairs_of_range(threshold), "a long, b long, sa long, sb long, n long")
+    found = ordered.mapInArrow(_send_prefixes(ranges, threshold), BLOBS).groupBy("r").applyInArrow(_pairs_of_range(threshold, HOT_SETS), "a long, b long, sa long, sb long, n long")
     sums = found.groupBy("a", "b").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("n").alias("n"))
     rest = F.floor(F.lit(threshold) * F.greatest("sa", "sb") + 1)  # n-grams of a set after its prefix, at most
-    near = saved(sums.filter(F.col("n") + rest >= F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - _EPS).select("a", "b"), "near")
-    # sets that can be similar come together: small groups whole, others by pairs of blocks that such sets lie in
+    near = saved(sums.filter(F.col("n") + rest >= F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - _EPS).select("a", "b", (F.col("n") >= _STAR).alias("star")), "near")
+    # sets that can be similar come together: small groups whole, others by pairs of blocks that such sets lie in;
+    # sets with the same first partner are neighbours in the blocks
     together = components(near)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / BLOCK_SETS))
-    placed = saved(together.join(together.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")), "comp").select(F.col("node").alias("rep"), "comp", F.pmod(F.xxhash64(F.lit(13), "node"), blocks).cast("int").alias("block"), (blocks > 1).alias("many")), "placed")
+    counted = together.join(together.groupBy("comp").agg(F.count(F.lit(1)).alias("sets")), "comp").select(F.col("node").alias("rep"), "comp", "sets")
+    partner = near.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("partner"))
+    place = F.row_number().over(Window.partitionBy("comp").orderBy(F.coalesce("partner", "rep"), "rep")) - 1
+    large = counted.filter(F.col("sets") > BLOCK_SETS).join(partner, "rep", "left").withColumn("place", place.cast("long"))
+    large = large.select("rep", "comp", F.floor(F.col("place") * F.ceil(F.col("sets") / BLOCK_SETS) / F.col("sets")).cast("int").alias("block"))
+    placed = saved(large.withColumn("many", F.lit(True)).unionByName(counted.filter(F.col("sets") <= BLOCK_SETS).select("rep", "comp", F.lit(0).alias("block"), F.lit(False).alias("many"))), "placed")
     end = lambda x: placed.filter("many").select(F.col("rep").alias(x), F.col("comp").alias("comp" + x), F.col("block").alias("block" + x))
     tasks = near.join(end("a"), "a").join(end("b"), "b").select(F.col("compa").alias("comp"), F.least("blocka", "blockb").alias("i"), F.greatest("blocka", "blockb").alias("j")).distinct()
+    stars = near.filter("star").select(F.col("a").alias("head"), F.explode(F.array("a", "b")).alias("rep")).distinct().join(placed.filter("many"), "rep").select("head", "comp", "block").distinct()
+    tasks = tasks.unionByName(stars.select("head", "comp", F.col("block").alias("i")).join(stars.select("head", F.col("block").alias("j")), "head").filter("i <= j").select("comp", "i", "j")).distinct()
     sides = tasks.select("comp", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).unionByName(tasks.filter("i != j").select("comp", F.col("j").alias("block"), "i", "j", F.lit(1).alias("side")))
     spread = placed.filter("many").join(sides, ["comp", "block"]).select("rep", "comp", "i", "j", "side").unionByName(placed.filter("not many").select("rep", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
     inside = ordered.join(groups.select("rep", "n"), "rep").join(spread, "rep")

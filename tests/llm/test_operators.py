@@ -259,6 +259,28 @@ def test_ngram_join_is_exact(spark, empty, monkeypatch, block):
     assert ngram_join.ngram_join(empty).count() == 0 and ngram_join.distinct(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [3000, 4])
+def test_ngram_join_is_exact_with_stars(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 2)
+    rows = near_rows() + [(400 + k, t + " " + words(random.Random(k), 28)) for k, t in near_rows()[:60]]
+    want = brute_classes({i: grams((t or "").replace("!", "")) for i, t in rows})
+    got = {r.doc_id: (r.class_id, r.class_size, r.n_links, round(r.max_jaccard, 9)) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_pairs_grow_with_the_sets_and_not_with_their_square():
+    """1,200 near copies with 30 n-grams in common, in two sizes that can't be similar: what is handed on connects each size and stays narrow."""
+    entries = [(g, k, 100 if k < 600 else 300) for g in range(30) for k in range(1200)] + [(10_000 + k // 2, k, 100 if k < 600 else 300) for k in range(1200)]
+    v, i, s = (np.array(x) for x in zip(*entries))
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (v.astype("<u8"), i.astype("<i8"), s.astype("<u4"))], ["a", "b", "c"])
+    out = pa.Table.from_batches(ngram_join._pairs_of_range(0.5)(iter([batch])))
+    assert out.num_rows <= len(entries)
+    a, b = out["a"].to_numpy(), out["b"].to_numpy()
+    assert ((a < 600) == (b < 600)).all() and set(b[a == 0]) >= set(range(1, 600)) and set(b[a == 600]) >= set(range(601, 1200))
+    assert {(x, x + 1) for x in range(0, 1200, 2)} <= set(zip(a.tolist(), b.tolist()))  # the rare ones are pairs as before
+
+
 def test_distinct_keeps_one_row_of_each_class(spark):
     rows = near_rows()
     want = brute_classes({i: grams((t or "").replace("!", "")) for i, t in rows})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opalgrid.functions import text
 from opalgrid.functions.numbers import annual, rint
-from opalgrid.functions.taxonomy import SKILLS, asks_degree, loader_seniority, matched_skills, search_seniority, years_of
+from opalgrid.functions.taxonomy import SKILLS, asks_degree, loader_seniority, matched_skills, matching_text, search_seniority, skill_pattern, years_of
 from opalgrid.operators import dedup, metrics, search, skills, standardise, store, trends
 from opalgrid.plans import batch, snapshots
 from opalgrid.sources import pages, readers, sinks
@@ -211,3 +211,13 @@ def test_stream_sessions_over_the_whole_table(spark):
         want += [(user, str(datetime.fromtimestamp(first // 1_000_000, UTC).replace(tzinfo=None)), n) for first, _, n in found]
     got = [(r.user_id, r.start, r.n) for r in QUERIES["stream_sessions"](spark, folder).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_skills_are_found_in_one_reading(spark):
+    texts = ["Ruby on Rails, docker-compose; Azure DevOps!", "google or-tools/c++20 (.NET core) C/C++", "the rest of java", "", None, "ansi c# c#", "rest of it." + " x" * 60 + " a REST api"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    plain = F.array_compact(F.array(*(F.when(matching_text("text").rlike(skill_pattern(k)), F.lit(k)) for k in SKILLS)))  # one pattern for each skill
+    got = rows.select("k", matched_skills("text").alias("got"), plain.alias("want")).orderBy("k").collect()
+    assert [r.got for r in got] == [r.want for r in got] and got[0].got == ["ruby", "rails", "docker", "azure_devops", "devops"] and got[4].got == []
+    plan = rows.select(F.explode(matched_skills("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("RLIKE") <= 3

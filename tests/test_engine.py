@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opalgrid.functions import text
 from opalgrid.functions.numbers import annual, rint
 from opalgrid.functions.taxonomy import SKILLS, asks_degree, loader_seniority, matched_skills, matching_text, search_seniority, skill_pattern, years_of
-from opalgrid.operators import dedup, metrics, search, skills, standardise, store, trends
+from opalgrid.operators import dedup, joins, metrics, search, skills, standardise, store, trends
 from opalgrid.plans import batch, snapshots
 from opalgrid.sources import pages, readers, sinks
 from opalgrid.streaming import streams
@@ -221,3 +221,16 @@ def test_skills_are_found_in_one_reading(spark):
     assert [r.got for r in got] == [r.want for r in got] and got[0].got == ["ruby", "rails", "docker", "azure_devops", "devops"] and got[4].got == []
     plan = rows.select(F.explode(matched_skills("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and plan.count("RLIKE") <= 3
+
+
+def test_range_join_deals_full_stretches_to_several_tasks(spark, monkeypatch):
+    points = spark.createDataFrame([(k % 3, k, k % 7) for k in range(300)] + [(0, 999, None)], "g int, id int, at int")
+    ranges = spark.createDataFrame([(k % 3, 1000 + k, k % 6, k % 6 + k % 4 - 1) for k in range(200)] + [(0, 7, 5, None)], "g int, r int, low int, high int")
+    want = sorted(tuple(r) for r in points.join(ranges, "g").filter("at between low and high").select("g", "id", "at", "r", "low", "high").collect())
+    assert sorted(tuple(r) for r in joins.in_range(points, ranges, ["g"], "at", "low", "high", 4).collect()) == want
+    monkeypatch.setattr(joins, "CELL", 200)
+    monkeypatch.setattr(joins, "CHUNK", 3)
+    got = joins.in_range(points, ranges, ["g"], "at", "low", "high", 4)
+    assert got.columns == ["g", "id", "at", "r", "low", "high"] and sorted(map(tuple, got.collect())) == want
+    one_stretch = joins.in_range(points.drop("g"), ranges.drop("g"), [], "at", "low", "high", 100).withColumn("task", F.spark_partition_id())
+    assert one_stretch.select("task").distinct().count() > 4

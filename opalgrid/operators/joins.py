@@ -59,3 +59,15 @@ def in_range(points: DataFrame, ranges: DataFrame, by: list[str], point: str, lo
     kept = [*by, *(f"`{c}`" for c in rest(points))]
     held = met.filter(F.col(point).between(F.col("__low"), F.col("__high"))).select(*kept, F.explode("__rows").alias("__row"))
     return held.select(*kept, *(F.col(f"__row.`{c}`").alias(c) for c in rest(ranges)))
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Pairs of rows that agree in `by` and whose arrays `a` (of left) and `b` (of right) share an item, each pair once. Rows meet by item, and the pair is
+    kept at the first item that they share, so rows that share nothing never meet; equal arrays of right are compared once with a row of left."""
+    items = lambda c: F.array_distinct(F.array_compact(c))
+    x = left.withColumn("__item", F.explode(items(a)))
+    y = chunks(right.withColumn("__set", items(b)), [*by, "__set"], "__rows").withColumn("__item", F.explode("__set"))
+    met = meet(x, y, [*by, "__item"], F.lit(1), F.size("__rows")).filter(F.col("__item") == F.get(F.array_intersect(items(a), "__set"), F.lit(0)))
+    rest = lambda df: [c for c in df.columns if c not in by]
+    kept = [*by, *(f"`{c}`" for c in rest(left))]
+    return met.select(*kept, F.explode("__rows").alias("__row")).select(*kept, *(F.col(f"__row.`{c}`").alias(c) for c in rest(right)))

@@ -144,7 +144,7 @@ def _jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Customers against suppliers of one nation by the tokens of their names."""
     a = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), tokens("c_name", TITLE_STOP, 2).alias("a"))
     b = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), tokens("s_name", TITLE_STOP, 2).alias("b"))
-    return a.join(b, "nation").select("c_custkey", "s_suppkey", jaccard(F.col("a"), F.col("b")).alias("j")).filter("j > 0")
+    return joins.overlapping(a, b, ["nation"], "a", "b").select("c_custkey", "s_suppkey", jaccard(F.col("a"), F.col("b")).alias("j")).filter("j > 0")
 
 
 _TOK = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 2))"

@@ -234,3 +234,18 @@ def test_range_join_deals_full_stretches_to_several_tasks(spark, monkeypatch):
     assert got.columns == ["g", "id", "at", "r", "low", "high"] and sorted(map(tuple, got.collect())) == want
     one_stretch = joins.in_range(points.drop("g"), ranges.drop("g"), [], "at", "low", "high", 100).withColumn("task", F.spark_partition_id())
     assert one_stretch.select("task").distinct().count() > 4
+
+
+def test_rows_meet_by_what_they_share(spark, monkeypatch):
+    a = spark.createDataFrame([(k % 2, k, [f"t{k % 5}", "all", f"u{k % 3}"][: k % 4]) for k in range(60)] + [(0, 99, None)], "g int, id int, a array<string>")
+    b = spark.createDataFrame([(k % 3, k, [f"u{k % 3}", "all", f"t{k % 7}", None][: k % 5]) for k in range(50)] + [(1, 99, None)], "g int, r int, b array<string>")
+    jac = text.jaccard(F.col("a"), F.array_compact("b"))
+    want = sorted((r.id, r.r, r.j) for r in a.join(b, "g").select("id", "r", jac.alias("j")).filter("j > 0").collect())
+    monkeypatch.setattr(joins, "CELL", 50)
+    monkeypatch.setattr(joins, "CHUNK", 2)
+    got = joins.overlapping(a, b, ["g"], "a", "b")
+    assert got.columns == ["g", "id", "a", "r", "b"] and sorted((r.id, r.r, r.j) for r in got.select("id", "r", jac.alias("j")).collect()) == want and len(want) > 200
+    from opalgrid.plans.catalogue import QUERIES
+
+    met = QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__item" in met  # by nation alone every customer met every supplier

@@ -249,3 +249,18 @@ def test_rows_meet_by_what_they_share(spark, monkeypatch):
 
     met = QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "__item" in met  # by nation alone every customer met every supplier
+
+
+def test_dedup_without_dates_and_across_windows(spark):
+    from itertools import combinations
+
+    days = [None, datetime(2026, 1, 1), datetime(2026, 1, 14), datetime(2026, 1, 16), datetime(2026, 1, 29), datetime(2026, 3, 1)]
+    rows = [(k, "abc"[k % 3], str(k), "Data Engineer", f"Acme {k % 2}", "x", "Bern", "BE", "s", "m", days[k // 6 % 6]) for k in range(48)]
+    p = spark.createDataFrame(rows, "_ord long, source string, vacancy_id string, title string, company string, role_category string, city string, canton string, seniority string, work_mode string, publication_date timestamp").withColumns({"description_text": F.lit(None).cast("string"), "skills_list": F.array(F.lit("SQL"), F.concat(F.lit("Zürich"), F.col("_ord") % 2))})
+    near = lambda a, b: a is None or b is None or abs((a - b).days) <= 14
+    want = [(a[0], b[0]) for a, b in combinations(rows, 2) if a[4] == b[4] and a[1] != b[1] and near(a[10], b[10])]
+    assert sorted((r.a, r.b) for r in dedup.matches(p).collect()) == want
+    assert {(r.cluster, r.duplicate_count, tuple(r.skills_list)) for r in dedup.merged(p).collect()} == {(0, 24, ("SQL", "Zürich0")), (1, 24, ("SQL", "Zürich1"))}
+    assert [r.group_size for r in dedup.report(p).collect()] == [24] * 48
+    plan = dedup.clusters(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # no call of Python for each company
